@@ -111,26 +111,31 @@ def breakdown() -> Column:
     return F.create_map(*entries)
 
 
-# Fixed sentences: dimension -> (format of the value, maximum).
+# Fixed sentences: dimension -> (text before the value, number format, text after it, maximum).
 _SENTENCES = {
-    "ingreso": ("Ingreso mensual: S/%.2f", 150),
-    "gastos": ("Ratio gastos/ingresos: %.2f%%", 100),
-    "deuda": ("Ratio deuda/activos: %.2f%%", 150),
-    "excedente": ("Excedente mensual: S/%.2f", 120),
-    "capacidad": ("Capacidad de pago: %.2f", 100),
-    "num_deudas": ("Nro de deudas: %.0f", 80),
-    "mora": ("Mora diaria: %.2f días", 100),
-    "endeudamiento": ("Endeudamiento patrimonial: %.2f%%", 100),
-    "capital": ("Capital de trabajo: S/%.2f", 100),
-    "carga": ("Carga financiera: %.2fx ingreso anual", 100),
+    "ingreso": ("Ingreso mensual: S/", "%.2f", "", 150),
+    "gastos": ("Ratio gastos/ingresos: ", "%.2f", "%", 100),
+    "deuda": ("Ratio deuda/activos: ", "%.2f", "%", 150),
+    "excedente": ("Excedente mensual: S/", "%.2f", "", 120),
+    "capacidad": ("Capacidad de pago: ", "%.2f", "", 100),
+    "num_deudas": ("Nro de deudas: ", "%.0f", "", 80),
+    "mora": ("Mora diaria: ", "%.2f", " días", 100),
+    "endeudamiento": ("Endeudamiento patrimonial: ", "%.2f", "%", 100),
+    "capital": ("Capital de trabajo: S/", "%.2f", "", 100),
+    "carga": ("Carga financiera: ", "%.2f", "x ingreso anual", 100),
 }
 
 
 def explanations() -> Column:
-    """The ten sentences that explain a score. Kept out of ``score`` as it is costly to generate."""
+    """The ten sentences that explain a score; a missing value reads "nan".
+
+    Kept out of ``score`` as it is costly to generate.
+    """
     sentences = []
     for d, value in dimension_values().items():
-        template, maximum = _SENTENCES[d]
-        shown = value.cast("double") * num(100) if template.endswith("%%") else value.cast("double")
-        sentences.append(F.format_string(f"{template} -> %d/{maximum} pts", shown, F.col(f"score_{d}")))
+        before, number, after, maximum = _SENTENCES[d]
+        shown = value.cast("double") * num(100) if after == "%" else value.cast("double")
+        text = F.when(shown.isNull(), "nan").otherwise(F.format_string(number, shown))
+        points = F.col(f"score_{d}").cast("string")
+        sentences.append(F.concat(F.lit(before), text, F.lit(f"{after} -> "), points, F.lit(f"/{maximum} pts")))
     return F.array(*sentences)

@@ -66,11 +66,16 @@ class Cells:
         return np.maximum(1, np.ceil(self.rows / self.chunk_rows)).astype(int)
 
 
-def _pivot_sample(points: DataFrame, count: int) -> np.ndarray:
-    """``count`` distinct vectors, chosen by hash; only these few reach the driver."""
-    picked = (
-        points.select("vec", F.xxhash64("vec").alias("h")).distinct().orderBy("h").limit(count).select("vec").collect()
-    )
+def _pivot_sample(points: DataFrame, count: int, total: int) -> np.ndarray:
+    """Up to ``count`` distinct vectors, chosen by hash.
+
+    The hash first thins the table to a few times that number, so the distinct step moves next to nothing;
+    only the chosen ones reach the driver. A table of few distinct vectors just yields fewer pivots.
+    """
+    hashed = points.select("vec", F.xxhash64("vec").alias("h"))
+    share = 16.0 * count / max(total, 1)
+    thin = hashed.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else hashed
+    picked = thin.distinct().orderBy("h").limit(count).select("vec").collect() or hashed.limit(1).collect()
     return np.array([r["vec"] for r in picked], dtype=np.float64).reshape(len(picked), -1)
 
 
@@ -263,7 +268,8 @@ def knn_join(
     b = materialize(_bounded_copies(_points(base, id_col, vec_col), wanted), "knn-base")
     # one representative per distinct query vector; its own id plays no part in the search
     distinct = q.groupBy("vec").agg(F.min("id").alias("id"))
-    centres = _pivot_sample(b, pivots or _pivot_count(b.count()))
+    total = b.count()
+    centres = _pivot_sample(b, pivots or _pivot_count(total), total)
     celled = materialize(_with_cell(b, centres), "knn-cells")
     cells = _cell_table(celled, centres, chunk_rows)
     right = celled.drop("reach")
@@ -320,7 +326,8 @@ class EpsIndex:
 
 def eps_index(points: DataFrame, eps: float, pivots: int | None = None, chunk_rows: int = CHUNK_ROWS) -> EpsIndex:
     """Index of ``points`` (id, vec, further columns) for partners within ``eps``."""
-    centres = _pivot_sample(points, pivots or _pivot_count(points.count()))
+    total = points.count()
+    centres = _pivot_sample(points, pivots or _pivot_count(total), total)
     celled = materialize(_with_cell(points, centres), "eps-cells")
     cells = _cell_table(celled, centres, chunk_rows)
     reach = _candidates(celled.withColumn("bound", F.lit(float(eps))), cells, "bound", include_home=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from credilake.functions import decisions, features, scoring
 from credilake.functions.arithmetic import num
 from credilake.operators import clean, loans, portfolio, validate
 from credilake.operators.profile import build_profile, derive_profile
-from credilake.session import materialize
+from credilake.session import checkpoint_root, materialize
+from credilake.sources import files, relational
 from credilake.sources.order_tables import source_tables, stored_source_tables
 
 
@@ -142,6 +145,60 @@ def _report(spark, sf_dir) -> DataFrame:
     return report.select(KEY, F.to_json(F.struct("*")).alias("report"))
 
 
+def _non_finite(spark, sf_dir) -> DataFrame:
+    """Profiles with NaN and infinities put in by rule, then cleaned of them."""
+    dirty = snapshot(spark, sf_dir).withColumn(
+        "capacidad_pago",
+        F.when(F.col("num_deudas") == 0, num("nan"))
+        .when(F.col("num_deudas") == 1, num("inf"))
+        .when(F.col("num_deudas") == 2, num("-inf"))
+        .otherwise(F.col("capacidad_pago")),
+    )
+    return clean.nullify_non_finite(dirty).select(KEY, "capacidad_pago", "excedente")
+
+
+def _work(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _csv(spark, sf_dir) -> DataFrame:
+    """The profiles out to CSV and in again."""
+    path = _work(spark, "profiles-csv")
+    snapshot(spark, sf_dir).write.option("header", True).csv(path)
+    return files.read_profiles(spark, path)
+
+
+def _json_in(spark, sf_dir) -> DataFrame:
+    """The profiles out to JSON lines and in again as applications."""
+    path = _work(spark, "applications-json")
+    snapshot(spark, sf_dir).write.json(path)
+    return files.read_applications_json(spark, path).drop(files.CORRUPT)
+
+
+def _json_out(spark, sf_dir) -> DataFrame:
+    """Result documents written out and read back."""
+    path = _work(spark, "results-json")
+    files.write_results_json(decided(snapshot(spark, sf_dir)), path)
+    text = spark.read.text(path)
+    return text.select(
+        F.get_json_object("value", "$.client_id").cast("long").alias(KEY),
+        F.get_json_object("value", "$.scoring.total_score").cast("int").alias("total_score"),
+        F.get_json_object("value", "$.recommendations.final_decision").alias("final_decision"),
+    )
+
+
+def _stored_tables(spark, sf_dir) -> DataFrame:
+    """The seven tables written with their declared types and read back: rows per table."""
+    path = _work(spark, "source-tables")
+    tables = {k: v for k, v in loaded(spark, sf_dir).items() if k != "profile"}
+    relational.write_source_tables(tables, path)
+    counts = None
+    for name, df in relational.read_source_tables(spark, path).items():
+        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        counts = row if counts is None else counts.unionByName(row)
+    return counts
+
+
 def _trend(spark, sf_dir) -> DataFrame:
     return portfolio.portfolio_trend(
         loaded(spark, sf_dir)["evaluaciones"].withColumn("viable", F.col("viable").cast("int")), at="fecha_evaluacion"
@@ -170,6 +227,12 @@ QUERIES = {
     "profile_joined": lambda s, d: build_profile(source_tables(s, d), ordered=True),
     "profile_snapshot": lazy_snapshot,
     "clean_impute": lambda s, d: clean.impute_median(snapshot(s, d)),
+    "nullify_non_finite": _non_finite,
+    "select_target": lambda s, d: clean.select_target(snapshot(s, d)).select(KEY, "label"),
+    "profiles_csv": _csv,
+    "applications_json": _json_in,
+    "results_json": _json_out,
+    "source_tables": _stored_tables,
     "serving_align": lambda s, d: clean.align_features(
         snapshot(s, d), ["mora_diaria", "endeudamiento_patrimonial", "capacidad_pago", "no_such_feature", "num_deudas"]
     ),

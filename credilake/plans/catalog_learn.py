@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +10,8 @@ from credilake.functions import decisions, scoring
 from credilake.functions.arithmetic import num
 from credilake.operators import clean, explain, metrics, prep, regression, scaling, supervised
 from credilake.plans import training
-from credilake.plans.catalog_core import decided, fixed_probability, loaded, rounded, snapshot
-from credilake.session import checkpoint_root, materialize
+from credilake.plans.catalog_core import _work, decided, fixed_probability, loaded, rounded, snapshot
+from credilake.session import materialize
 from credilake.sources import evaluations as log
 from credilake.sources.models import load_model, model_registry, save_model
 from credilake.streaming import jobs
@@ -142,8 +140,14 @@ def _feedback(spark, sf_dir) -> DataFrame:
 # --- streams -----------------------------------------------------------------------------------------------
 
 
-def _work(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _logged(spark, sf_dir) -> DataFrame:
+    """The evaluations appended to a log and read back: rows and scores per day."""
+    path = _work(spark, "evaluations-log")
+    log.append_evaluations(evaluations(spark, sf_dir), path)
+    stored = log.read_evaluations(spark, path)
+    return stored.groupBy(F.date_format("created_date", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").alias("n"), F.sum("total_score").alias("score")
+    )
 
 
 def _event_counts(spark, sf_dir) -> DataFrame:
@@ -367,6 +371,7 @@ QUERIES = {
     "smote": _smote_counts,
     "yeo_johnson": _power,
     "select_features": _selected,
+    "evaluations_logged": _logged,
     "evaluations_recent": _recent,
     "evaluation_counts": lambda s, d: log.evaluation_counts(_live(s, d)),
     "labels_latest": _labels,

@@ -10,7 +10,7 @@ from credilake.operators import anomaly, clean, cluster_metrics, clustering, nei
 from credilake.operators.scaling import RobustScale
 from credilake.operators.supervised import knn_vote
 from credilake.plans.catalog_core import rounded, snapshot
-from credilake.plans.unsupervised import cluster_frame
+from credilake.plans.unsupervised import cluster_frame, full_analysis
 from credilake.session import materialize
 
 EPS, MIN_SAMPLES = 1.15, 5
@@ -79,6 +79,51 @@ def _scaled(spark, sf_dir) -> DataFrame:
     return rounded(RobustScale.fit(df, df.columns[1:]).transform(df), 9, *df.columns[1:])
 
 
+def _inverse(spark, sf_dir) -> DataFrame:
+    """Scaled and back: the original units again."""
+    df = snapshot(spark, sf_dir).select(KEY, "ingreso_mensual", "total_gastos", "capital_trabajo", "tem", "mora_diaria")
+    scale = RobustScale.fit(df, df.columns[1:])
+    return rounded(scale.inverse(scale.transform(df)), 6, *df.columns[1:])
+
+
+def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Scaled profiles by outcome: the viable ones to learn from, the others to judge."""
+    df = snapshot(spark, sf_dir)
+    frame, _ = cluster_frame(df)
+    marked = frame.join(df.select(F.col(KEY).alias("id"), TARGET), "id")
+    return marked.where(F.col(TARGET) == 1).drop(TARGET), marked.where(F.col(TARGET) == 0).drop(TARGET)
+
+
+def _unseen(spark, sf_dir) -> DataFrame:
+    known, new = _halves(spark, sf_dir)
+    _, forest = anomaly.isolation_forest(known, 0.1, trees=50)
+    return anomaly.score_anomaly(new, forest).select("id", "score", "label")
+
+
+def _novelty(spark, sf_dir) -> DataFrame:
+    known, new = _halves(spark, sf_dir)
+    return anomaly.lof_novelty(new, known, 20)
+
+
+def _density_assignment(spark, sf_dir) -> DataFrame:
+    """Non-viable clients against the density clusters of the viable ones."""
+    known, new = _halves(spark, sf_dir)
+    labels = clustering.dbscan(known, 1.5, 5).where("is_core").select("id", "cluster")
+    return clustering.assign_density_cluster(new, known.join(labels, "id"), 1.5)
+
+
+def _full(spark, sf_dir) -> DataFrame:
+    """Rows per part of the whole analysis, at small settings."""
+    parts = full_analysis(
+        snapshot(spark, sf_dir), range(2, 4), restarts=1, trees=20, micro_clusters=30, silhouette_metric="squared"
+    )
+    rows = None
+    for name, df in parts.items():
+        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 def _kmeans(spark, sf_dir) -> DataFrame:
     frame, _ = cluster_frame(snapshot(spark, sf_dir))
     labelled = clustering.kmeans(frame, 4, restarts=3)
@@ -124,6 +169,7 @@ def _measure(function, *columns, **options):
 
 QUERIES = {
     "robust_scaled": _scaled,
+    "inverse_scaled": _inverse,
     "knn_topk": _knn,
     "knn_classify": _knn_classify,
     "eps_pairs": lambda s, d: rounded(neighbors.eps_join(vectors(s, d), EPS), 6, "distance"),
@@ -145,6 +191,10 @@ QUERIES = {
     "hierarchical": _hierarchical,
     "auto_select_k": _auto_k,
     "iforest": _iforest,
+    "iforest_unseen": _unseen,
+    "lof_novelty": _novelty,
+    "assign_density_cluster": _density_assignment,
+    "full_analysis": _full,
     "pca": _pca,
     "pca_coordinates": _pca_coordinates,
 }

@@ -216,7 +216,52 @@ def _r(expr: str, digits: int = 6) -> str:
     return f"ROUND({expr}, {digits})"
 
 
+def _fixed(expr: str) -> str:
+    """Two decimals as text, halves away from zero, as the decimal value reads."""
+    return f"COALESCE(CAST(CAST(ROUND(CAST({expr} AS DECIMAL(28,10)), 2) AS DECIMAL(20,2)) AS VARCHAR), 'nan')"
+
+
+# dimension -> (text before the value, value, text after it, maximum)
+_SENTENCES = {
+    "ingreso": ("Ingreso mensual: S/", "ingreso_mensual", "", 150),
+    "gastos": ("Ratio gastos/ingresos: ", "total_gastos / (ingreso_mensual + 1) * 100", "%", 100),
+    "deuda": ("Ratio deuda/activos: ", "total_deudas / (total_activos + 1) * 100", "%", 150),
+    "excedente": ("Excedente mensual: S/", "excedente", "", 120),
+    "capacidad": ("Capacidad de pago: ", "capacidad_pago", "", 100),
+    "num_deudas": ("Nro de deudas: ", "num_deudas", "", 80),
+    "mora": ("Mora diaria: ", "mora_diaria", " días", 100),
+    "endeudamiento": ("Endeudamiento patrimonial: ", "endeudamiento_patrimonial * 100", "%", 100),
+    "capital": ("Capital de trabajo: S/", "capital_trabajo", "", 100),
+    "carga": ("Carga financiera: ", "monto_solicitado / (ingreso_mensual * 12 + 1)", "x ingreso anual", 100),
+}
+
 CORE = {
+    "nullify_non_finite": with_profile(
+        "SELECT id_cliente, CASE WHEN num_deudas > 2 THEN capacidad_pago END AS capacidad_pago, excedente FROM perfil"
+    ),
+    "select_target": with_profile("SELECT id_cliente, CAST(viable AS DOUBLE) AS label FROM perfil"),
+    "profiles_csv": f"WITH {SOURCES} {SNAPSHOT}",
+    "applications_json": with_profile("SELECT id_cliente, " + ", ".join(FEATURE_LIST) + " FROM perfil"),
+    "results_json": with_profile(
+        """SELECT id_cliente, total_score, a.action AS final_decision
+           FROM decidido JOIN acciones a USING (core_rule) WHERE a.pos = 0""",
+        SCORED,
+        DECIDED,
+    ),
+    "source_tables": f"""WITH {SOURCES}
+SELECT 'clientes' AS table_name, COUNT(*) AS n FROM customer UNION ALL SELECT 'ingresos', COUNT(*) FROM ingresos
+UNION ALL SELECT 'gastos', COUNT(*) FROM gastos UNION ALL SELECT 'patrimonio', COUNT(*) FROM patrimonio
+UNION ALL SELECT 'deudas', COUNT(*) FROM deudas UNION ALL SELECT 'solicitudes_credito', COUNT(*) FROM solicitudes
+UNION ALL SELECT 'evaluaciones', COUNT(*) FROM evaluaciones""",
+    "score_explanations": with_profile(
+        _union(
+            f"SELECT id_cliente, {i} AS position, '{before}' || "
+            + ("CAST(num_deudas AS VARCHAR)" if d == "num_deudas" else _fixed(value))
+            + f" || '{after} -> ' || CAST(score_{d} AS VARCHAR) || '/{maximum} pts' AS sentence FROM puntaje"
+            for i, (d, (before, value, after, maximum)) in enumerate(_SENTENCES.items())
+        ),
+        SCORED,
+    ),
     "profile_joined": f"WITH {SOURCES} {JOINED}",
     "profile_snapshot": f"WITH {SOURCES} {SNAPSHOT}",
     "clean_impute": with_profile("SELECT * FROM limpio", IMPUTED),

@@ -135,6 +135,13 @@ LEARN = {
         """SELECT label, MAX(n) OVER () AS n FROM (
              SELECT viable AS label, COUNT(*) AS n FROM perfil WHERE viable IS NOT NULL GROUP BY 1)"""
     ),
+    "evaluations_logged": with_profile(
+        """SELECT strftime(fecha_evaluacion, '%Y-%m-%d') AS day, COUNT(*) AS n, CAST(SUM(total_score) AS BIGINT) AS score
+           FROM registro GROUP BY 1""",
+        SCORED,
+        DECIDED,
+        _LOG,
+    ),
     "evaluations_recent": with_profile(
         """SELECT id_cliente AS id, strftime(fecha_evaluacion, '%Y-%m-%d') AS created_on, final_decision, total_score,
                   ROUND(confidence_frac, 6) AS confidence_frac

@@ -60,6 +60,13 @@ SPACE = {
         )
         + " FROM perfil)",
     ),
+    "inverse_scaled": with_profile(
+        "SELECT id_cliente, "
+        + ", ".join(
+            f"ROUND({c}, 6) AS {c}" for c in ("ingreso_mensual", "total_gastos", "capital_trabajo", "tem", "mora_diaria")
+        )
+        + " FROM perfil"
+    ),
     "knn_topk": f"WITH {_PAIRS}, {_RANKED.format(k=5)} SELECT id, other AS neighbor_id, ROUND(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM nn",
     "knn_classify": f"""WITH {_PAIRS}, {_RANKED.format(k=5)},
 votes AS (SELECT id, other_cluster AS label, SUM(1 / distance) AS w FROM nn GROUP BY 1, 2)

@@ -65,6 +65,12 @@ def test_missing_values_take_the_last_band(spark):
     assert (row.score_ingreso, row.score_capital, row.score_gastos, row.score_carga) == (150, 10, 10, 5)
 
 
+def test_explanation_of_a_missing_value(spark):
+    df = scoring.score(applications(spark, SAMPLE | {"endeudamiento_patrimonial": None}))
+    row = _one(df.select(scoring.explanations().alias("e")))
+    assert row.e[7] == "Endeudamiento patrimonial: nan% -> 10/100 pts"
+
+
 def test_breakdown_and_explanations(spark):
     df = scoring.score(applications(spark, SAMPLE))
     row = _one(df.select(scoring.breakdown().alias("b"), scoring.explanations().alias("e")))
