@@ -218,7 +218,7 @@ def _r(expr: str, digits: int = 6) -> str:
 
 def _fixed(expr: str) -> str:
     """Two decimals as text, halves away from zero, as the decimal value reads."""
-    return f"COALESCE(CAST(CAST(ROUND(CAST({expr} AS DECIMAL(30,12)), 2) AS DECIMAL(20,2)) AS VARCHAR), 'nan')"
+    return f"COALESCE(CAST(CAST(ROUND(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,18)), 2) AS DECIMAL(20,2)) AS VARCHAR), 'nan')"
 
 
 # dimension -> (text before the value, value, text after it, maximum)
