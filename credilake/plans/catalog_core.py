@@ -207,7 +207,7 @@ def _trend(spark, sf_dir) -> DataFrame:
 
 def _schedule(spark, sf_dir) -> DataFrame:
     money = ["saldo_inicial", "amortizacion", "interes", "cuota_total", "saldo_final"]
-    return rounded(loans.amortization_schedule(snapshot(spark, sf_dir)), 4, *money)
+    return rounded(loans.amortization_schedule(snapshot(spark, sf_dir)), 5, *money)
 
 
 def _cumulative(spark, sf_dir) -> DataFrame:
@@ -258,7 +258,9 @@ QUERIES = {
     "score_distribution": lambda s, d: portfolio.score_distribution(snapshot(s, d)),
     "means_by_result": lambda s, d: rounded(portfolio.means_by_result(snapshot(s, d)), 4, "avg_income", "avg_debt"),
     "target_distribution": lambda s, d: portfolio.target_distribution(snapshot(s, d)),
-    "describe": lambda s, d: rounded(portfolio.describe(snapshot(s, d)), 4, "mean", "std", "q25", "q50", "q75"),
+    "describe": lambda s, d: rounded(
+        rounded(portfolio.describe(snapshot(s, d)), 4, "mean", "std"), 7, "q25", "q50", "q75"
+    ),
     "correlations": lambda s, d: rounded(portfolio.target_correlations(snapshot(s, d)), 6, "correlation"),
     "monthly_trend": _trend,
     "risk_by_category": lambda s, d: portfolio.risk_by_category(decided(snapshot(s, d))),

@@ -218,7 +218,8 @@ def _r(expr: str, digits: int = 6) -> str:
 
 def _fixed(expr: str) -> str:
     """Two decimals as text, halves away from zero, as the decimal value reads."""
-    return f"COALESCE(CAST(CAST(ROUND(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,18)), 2) AS DECIMAL(20,2)) AS VARCHAR), 'nan')"
+    number = f"ROUND(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,18)), 2)"
+    return f"COALESCE(CASE WHEN {expr} < 0 AND {number} = 0 THEN '-' ELSE '' END || CAST(CAST({number} AS DECIMAL(20,2)) AS VARCHAR), 'nan')"
 
 
 # dimension -> (text before the value, value, text after it, maximum)
@@ -400,8 +401,8 @@ FROM (SELECT COUNT(*) AS total_clientes, CAST(SUM(viable) AS BIGINT) AS viables,
     "describe": with_profile(
         _union(
             f"SELECT '{c}' AS column_name, COUNT({c}) AS n, ROUND(AVG({c}), 4) AS mean, ROUND(STDDEV_SAMP({c}), 4) AS std,"
-            f" CAST(MIN({c}) AS DOUBLE) AS min, ROUND(quantile_cont({c}, 0.25), 4) AS q25,"
-            f" ROUND(quantile_cont({c}, 0.5), 4) AS q50, ROUND(quantile_cont({c}, 0.75), 4) AS q75,"
+            f" CAST(MIN({c}) AS DOUBLE) AS min, ROUND(quantile_cont({c}, 0.25), 7) AS q25,"
+            f" ROUND(quantile_cont({c}, 0.5), 7) AS q50, ROUND(quantile_cont({c}, 0.75), 7) AS q75,"
             f" CAST(MAX({c}) AS DOUBLE) AS max FROM perfil"
             for c in _STATS
         )
@@ -422,9 +423,9 @@ FROM (SELECT COUNT(*) AS total_clientes, CAST(SUM(viable) AS BIGINT) AS viables,
     ),
     "loan_schedule": with_profile(
         """
-SELECT id_cliente, CAST(k AS INTEGER) AS numero, ROUND(saldo, 4) AS saldo_inicial, ROUND(cuota - saldo * tem, 4) AS amortizacion,
-       ROUND(saldo * tem, 4) AS interes, ROUND(cuota, 4) AS cuota_total,
-       ROUND(GREATEST(saldo - (cuota - saldo * tem), 0), 4) AS saldo_final
+SELECT id_cliente, CAST(k AS INTEGER) AS numero, ROUND(saldo, 5) AS saldo_inicial, ROUND(cuota - saldo * tem, 5) AS amortizacion,
+       ROUND(saldo * tem, 5) AS interes, ROUND(cuota, 5) AS cuota_total,
+       ROUND(GREATEST(saldo - (cuota - saldo * tem), 0), 5) AS saldo_final
 FROM (SELECT *, monto_solicitado * POW(1 + tem, k - 1) - cuota * (POW(1 + tem, k - 1) - 1) / tem AS saldo
       FROM prestamo JOIN (SELECT range AS k FROM range(1, 61)) ON k <= num_cuotas)""",
         "prestamo AS (SELECT *, " + _CUOTA.format(n="num_cuotas") + " AS cuota FROM perfil)",
