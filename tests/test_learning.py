@@ -32,10 +32,9 @@ def vectors(labelled):
 @pytest.fixture(scope="module")
 def trained(profile):
     quick = supervised.specs(0.03)
-    names = ("Random Forest", "Logistic Regression", "KNN", "AdaBoost")
-    return training.train_all(
-        profile, specs={n: quick[n] for n in names}, tune=False, cv_folds=2, stack_folds=2, select_trees=10
-    )
+    specs = {n: quick[n] for n in ("Random Forest", "Logistic Regression", "KNN")}
+    specs["AdaBoost"] = supervised.AdaBoostSpec(rounds=3)
+    return training.train_all(profile, specs=specs, tune=False, cv_folds=2, stack_folds=2, select_trees=10)
 
 
 def _counts(df, *columns):
