@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credilake.llm import bpe, lines, rules
+from credilake.llm import bpe, lines, merkle, mixing, rules, shards, simhash
 from credilake.llm.base import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -35,6 +36,46 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(documents(spark, sf_dir)).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text against itself with its second half overwritten, and against the next text."""
+
+    def compare(text: str, follows: str) -> tuple:
+        half = len(text) // 2
+        edited = text[: len(text) - half] + follows[:half]
+        own, new, other = (merkle.tree(t.encode()) for t in (text, edited, follows))
+        digest = sha256(edited.encode()).hexdigest()
+        likeness = merkle.likeness(own, new), merkle.likeness(own, other)
+        return len(text), digest, own.digest.hex(), new.digest.hex(), *likeness
+
+    return merkle.with_next(
+        documents(spark, sf_dir),
+        compare,
+        "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -44,6 +85,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op4_simhash": op4_simhash,
+    "op5_sharding": op5_sharding,
+    "op6_merkle": op6_merkle,
+    "op7_mixing": op7_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -101,7 +146,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND coalesce(n_dup_lines / nullif(length(lines), 0), 0) <= {_limit["dup_line_share"][1]} AS kept
 FROM t"""
 
+_weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS))
+
+MIX_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (
+  SELECT *, CASE (rank - 1) % {len(mixing.WEIGHTS)} {_weight} END AS weight, {mixing.SHARE} * sum(n) OVER () AS whole FROM s),
+f AS (
+  SELECT *, (whole - {mixing.MOST_EPOCHS} * coalesce(sum(n) OVER (ORDER BY n / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         * weight / sum(weight) OVER (ORDER BY n / weight DESC, rank DESC) > {mixing.MOST_EPOCHS} * n AS is_full
+  FROM w),
+l AS (
+  SELECT (max(whole) - {mixing.MOST_EPOCHS} * coalesce(sum(n) FILTER (is_full), 0)) AS rest, sum(weight) FILTER (NOT is_full) AS among FROM f),
+t AS (
+  SELECT source, n, CASE WHEN is_full THEN CAST({mixing.MOST_EPOCHS} * n AS DOUBLE) ELSE CAST(rest AS DOUBLE) * weight / CAST(among AS DOUBLE) END AS target
+  FROM f, l),
+p AS (
+  SELECT d.*, n, target, CASE WHEN n > 0 THEN CAST(floor(target / n) AS BIGINT) ELSE 0 END AS epochs,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('{mixing.SEED}:' || doc_id), doc_id
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, n AS source_size, target,
+       CAST(epochs * size + least(size, greatest(0, CAST(round(target) AS BIGINT) - epochs * n - before)) AS BIGINT) AS taken
+FROM p"""
+
 ORACLE: dict[str, str] = {
+    "op7_mixing": MIX_SQL,
     "op3_line_dedup": f"SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ({LINE_SQL})",
     "op10_quality_rules": RULES_SQL,
 }
