@@ -8,7 +8,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credilake.llm import bpe, lines, merkle, mixing, rules, shards, simhash
+from credilake.llm import bpe, html, lines, merkle, mixing, rules, shards, simhash, weak
 from credilake.llm.base import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -76,6 +76,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return weak.judge(docs.select("doc_id", "text"), weak.fit(docs)).select(
+        "doc_id", "weak_label", "score", (F.col("score") >= weak.THRESHOLD).alias("kept")
+    )
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -89,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_merkle": op6_merkle,
     "op7_mixing": op7_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
 
