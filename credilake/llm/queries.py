@@ -8,7 +8,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credilake.llm import bpe, html, lines, merkle, mixing, rules, shards, simhash, weak
+from credilake.llm import bpe, html, lines, merkle, mixing, rules, shards, simhash, suffix, weak
 from credilake.llm.base import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return suffix.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_bytes",
+        gone.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
@@ -95,6 +106,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_suffix_array": op2_suffix_array,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
