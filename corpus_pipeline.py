@@ -4,17 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credilake.llm import lines
+from credilake.llm import bpe, lines, mixing, simhash, weak
 from credilake.llm.base import DOCUMENT_COLUMNS, documents
+from credilake.llm.queries import vocabulary_path
 from credilake.session import materialize
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on these documents without labels, takes for good."""
+    return weak.good_documents(docs).select(*DOCUMENT_COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(docs).select(*DOCUMENT_COLUMNS)
+    """Texts without the lines that many documents share; a document of such lines only is empty, not gone."""
+    return lines.dedup_lines(docs).withColumn("n_chars", _length()).select(*DOCUMENT_COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.one_of_each(docs, **simhash.NEAR_COPIES).select(*DOCUMENT_COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs).select(*DOCUMENT_COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text that they decode to."""
+    return bpe.encode_decode(docs, vocabulary_path())
+
+
+def _length():
+    from pyspark.sql import functions as F
+
+    return F.length(F.coalesce("text", F.lit(""))).cast("long")
 
 
-STAGES = [("line dedup", line_dedup)]
+STAGES = [
+    ("quality", quality),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("tokens", tokens),
+]
 
+#: SQL expresses neither the fitted classifier nor the fingerprints; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -20,10 +20,15 @@ SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
 SEED = 42
 
-#: Parts of a fingerprint that get a tree each. Two fingerprints within the distance are within a third of it
-#: (rounded down) in one part at least.
+#: Parts of a fingerprint that get a tree each. Two fingerprints within the distance are within the distance
+#: divided by the parts (rounded down) in one part at least.
 PARTS = 3
 
+#: Settings by which whole texts count as near copies: five words and a similarity of 0.8 or more. Half of the
+#: bits of such pairs' five-word fingerprints would be too far apart to be searched, so the search goes by the
+#: set of word pairs (at a similarity of 0.8 about 6 bits differ) and five-word shingles confirm.
+NEAR_COPIES = {"words": 2, "distance": 7, "parts": 4, "unique": True, "confirm": (5, 14)}
+
 #: Fingerprints a shard is meant to hold, and most levels of a tree.
 SHARD_ROWS = 1024
 MOST_LEVELS = 14
@@ -35,8 +40,9 @@ CHUNK_ROWS = 2048
 VISITOR_ROWS = 16384
 
 
-def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
-    """64 bits, each the majority of that bit among the hashes of all shingles; 0 for no words or a tie."""
+def fingerprint(text: bytes, words: int = SHINGLE_WORDS, unique: bool = False) -> int:
+    """64 bits, each the majority of that bit among the hashes of all shingles; 0 for no words or a tie.
+    Repeated shingles count as often as they occur, or once if ``unique``."""
     found = text.lower().split()
     if not found:
         return 0
@@ -45,6 +51,8 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     shingles = [joined[a:b] for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())]
+    if unique:
+        shingles = set(shingles)
     hashes = np.fromiter(map(partial(xxh64_intdigest, seed=SEED), shingles), np.uint64, len(shingles))
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
@@ -54,17 +62,23 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id``, ``row`` (hash of the text) and ``fp`` (the fingerprint as a signed long) of every row."""
-    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "row", "fp")])
+def fingerprints(
+    docs: DataFrame, words: int = SHINGLE_WORDS, unique: bool = False, confirm_words: int | None = None
+) -> DataFrame:
+    """``doc_id``, ``row`` (hash of the text), ``fp`` (the fingerprint as a signed long) and ``other`` (that of
+    shingles of ``confirm_words``, else 0) of every row."""
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "row", "fp", "other")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            fps = np.asarray([fingerprint(t, words) for t in texts(batch)], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array(fps)], schema=schema)
+            all_texts = texts(batch)
+            fps = [fingerprint(t, words, unique) for t in all_texts]
+            others = [fingerprint(t, confirm_words) if confirm_words else 0 for t in all_texts]
+            signed = (pa.array(np.asarray(x, np.uint64).view(np.int64)) for x in (fps, others))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), *signed], schema=schema)
 
     rows = keyed(docs).withColumn("row", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, fp long")
+    return rows.mapInArrow(run, "doc_id long, row long, fp long, other long")
 
 
 def part_masks(parts: int = PARTS) -> list[int]:
@@ -124,84 +138,105 @@ class VantageTree:
             yield who[chosen], shard[chosen], flag
 
 
-def forest(members: np.ndarray, visitors: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all fingerprints within ``distance``: every pair with a member, or a spanning forest.
+class Links:
+    """Pairs of some fingerprints that are near enough, in ``fp`` and, where asked for, also in ``other``."""
 
-    Pairs are listed while they are few. Where they are many, the links are found by search from one
-    fingerprint to those not reached yet, so that a dense group costs little more than its size.
-    """
-    everyone = np.concatenate([members, visitors])
-    a, b = [], []
-    found = 0
-    for start in range(0, len(members), 256):
-        rows = members[start : start + 256]
-        i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ everyone[None, start:]) <= distance)
-        keep = j > i  # members before this row have met it already
-        a.append(rows[i[keep]])
-        b.append(everyone[start + j[keep]])
-        found += int(keep.sum())
-        if found > 8 * len(everyone) + 1000:
-            return _search(everyone, distance)
-    return (np.concatenate(a), np.concatenate(b)) if a else (members[:0], members[:0])
-
-
-def _search(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    rest = np.unique(fps)
-    a, b = [], []
-    while len(rest):
-        frontier, rest = rest[:1], rest[1:]
-        while len(frontier) and len(rest):
-            step, frontier = frontier[:64], frontier[64:]
-            near = np.bitwise_count(step[:, None] ^ rest[None, :]) <= distance
-            hit = near.any(axis=0)
-            if hit.any():
-                a.append(step[near[:, hit].argmax(axis=0)])
-                b.append(rest[hit])
-                frontier = np.concatenate([frontier, rest[hit]])
-                rest = rest[~hit]
-    return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
-
-
-def close_pairs(fps: DataFrame, distance: int = MAX_DISTANCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``src, dst``: links between the different values of ``fp`` that are at most ``distance`` bits apart.
+    def __init__(self, fp: np.ndarray, other: np.ndarray, distance: int, other_distance: int | None):
+        self.fp, self.other, self.distance, self.other_distance = fp, other, distance, other_distance
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``a`` and ``b`` (positions of fingerprints) that are linked."""
+        i, j = np.nonzero(np.bitwise_count(self.fp[a][:, None] ^ self.fp[b][None, :]) <= self.distance)
+        if self.other_distance is not None:
+            keep = np.bitwise_count(self.other[a[i]] ^ self.other[b[j]]) <= self.other_distance
+            i, j = i[keep], j[keep]
+        return i, j
+
+    def forest(self, members: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links that connect whatever is linked: every pair with one of the first ``members``, or a spanning forest.
+
+        Pairs are listed while they are few. Where they are many, the links are found by search from one
+        fingerprint to those not reached yet, so that a dense group costs little more than its size.
+        """
+        everyone = np.arange(len(self.fp))
+        a, b = [everyone[:0]], [everyone[:0]]
+        found = 0
+        for start in range(0, members, 256):
+            rows = everyone[start : min(start + 256, members)]
+            i, j = self.near(rows, everyone[start:])
+            keep = j > i  # members before this row have met it already
+            a.append(rows[i[keep]])
+            b.append(start + j[keep])
+            found += int(keep.sum())
+            if found > 8 * len(everyone) + 1000:
+                return self._search()
+        return np.concatenate(a), np.concatenate(b)
+
+    def _search(self) -> tuple[np.ndarray, np.ndarray]:
+        rest = np.arange(len(self.fp))
+        a, b = [rest[:0]], [rest[:0]]
+        while len(rest):
+            frontier, rest = rest[:1], rest[1:]
+            while len(frontier) and len(rest):
+                step, frontier = frontier[:64], frontier[64:]
+                i, j = self.near(step, rest)
+                hit, first = np.unique(j, return_index=True)
+                if len(hit):
+                    a.append(step[i[first]])
+                    b.append(rest[hit])
+                    frontier = np.concatenate([frontier, rest[hit]])
+                    rest = np.delete(rest, hit)
+        return np.concatenate(a), np.concatenate(b)
+
+
+def close_pairs(
+    nodes: DataFrame,
+    distance: int = MAX_DISTANCE,
+    parts: int = PARTS,
+    other_distance: int | None = None,
+    shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
+    """``src, dst``: links between rows of ``nodes`` (``node, fp, other``) at most ``distance`` bits apart in ``fp``
+    and, if given, ``other_distance`` in ``other``. ``nodes`` is read several times and should be stored.
 
     All links that connect, not all pairs: within a dense shard a spanning forest stands for its pairs.
-    Each of ``PARTS`` parts of the fingerprint has a vantage-point tree whose radii come from a bounded sample.
-    A fingerprint is a member of one shard per part and visits those that it may reach over a border. Shards are
-    cut into bounded chunks: members meet the chunks before their own as visitors, so a shard that holds a large
-    group is spread over many tasks.
+    Each part of the fingerprint has a vantage-point tree whose radii come from a bounded sample. A fingerprint is
+    a member of one shard per part and visits those that it may reach over a border. Shards are cut into bounded
+    chunks: members meet the chunks before their own as visitors, so a shard that holds a large group is spread
+    over many tasks.
     """
-    spark = fps.sparkSession
-    distinct = materialize(fps.select("fp").distinct(), "fingerprints")
-    n = distinct.count()
+    n = nodes.count()
     levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard_rows))))))
     wanted = SAMPLE_ROWS << levels
-    sampled = distinct if n <= wanted else distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < max(1, (wanted << 20) // n))
-    sample = np.asarray([r[0] for r in sampled.limit(2 * wanted).collect()] if levels else [], np.int64).view(np.uint64)
-    sample.sort()
-    reach = distance // PARTS
-    trees = [VantageTree(mask, levels, sample, seed) for seed, mask in enumerate(part_masks())]
-    shared = spark.sparkContext.broadcast(trees)  # under 10 bytes for each of PARTS * 2**MOST_LEVELS nodes
+    pick = F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < max(1, (wanted << 20) // max(1, n))
+    sampled = nodes.select("fp").where(pick).limit(2 * wanted).collect() if levels else []
+    sample = np.sort(np.asarray([r[0] for r in sampled], np.int64).view(np.uint64))
+    reach = distance // parts
+    trees = [VantageTree(mask, levels, sample, seed) for seed, mask in enumerate(part_masks(parts))]
+    # they go along with the task: about 10 bytes for each of at most parts * 2**MOST_LEVELS nodes
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("fp").to_numpy().view(np.uint64)
-            for part, tree in enumerate(shared.value):
+            for part, tree in enumerate(trees):
                 for who, shard, member in tree.route(own, reach):
+                    row = pa.array(who)
                     yield pa.record_batch(
                         [
                             pa.array((part << levels) + shard, pa.int64()),
-                            pa.array(own[who].view(np.int64)),
+                            *(batch.column(c).take(row) for c in ("node", "fp", "other")),
                             pa.array(np.full(len(who), member)),
                         ],
-                        names=["shard", "fp", "member"],
+                        names=["shard", "node", "fp", "other", "member"],
                     )
 
-    routed = distinct.mapInArrow(route, "shard long, fp long, member boolean")
+    routed = nodes.select("node", "fp", "other").mapInArrow(
+        route, "shard long, node long, fp long, other long, member boolean"
+    )
     sizes = routed.groupBy("shard").agg(
         F.count_if("member").alias("members"), F.count_if(~F.col("member")).alias("visitors")
     )
-    # one row per shard: at most PARTS * 2**MOST_LEVELS
+    # one row per shard: at most parts * 2**MOST_LEVELS
     cut = sizes.select(
         "shard",
         F.ceil(F.col("members") / CHUNK_ROWS).cast("int").alias("chunks"),
@@ -210,49 +245,74 @@ def close_pairs(fps: DataFrame, distance: int = MAX_DISTANCE, shard_rows: int =
     dealt = (
         routed.join(F.broadcast(cut), "shard")
         .where("chunks > 0")
-        .withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), "chunks").cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("fp", F.lit(2)), "blocks").cast("int"))
-    )
-    # a member is one in its own chunk, for every block of visitors, and visits the chunks before
-    as_member = dealt.where("member").select(
-        "shard", F.col("own").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "fp", "member"
+        .withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), "chunks").cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
     )
+    # a member is one in its own chunk, for every block of visitors, and visits the chunks before; a visitor
+    # visits all chunks
     last = F.when(F.col("member"), F.col("own") - 1).otherwise(F.col("chunks") - 1)
-    as_visitor = (
-        dealt.withColumn("last", last)
-        .where("last >= 0")
-        .select("shard", F.explode(F.sequence(F.lit(0), "last")).alias("chunk"), "block", "fp", F.lit(False).alias("member"))
+    as_member = F.transform(
+        F.when(F.col("member"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array()),
+        lambda block: F.struct(F.col("own").alias("chunk"), block.alias("block"), F.lit(True).alias("member")),
+    )
+    as_visitor = F.transform(
+        F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array()),
+        lambda chunk: F.struct(chunk.alias("chunk"), F.col("block").alias("block"), F.lit(False).alias("member")),
     )
+    places = dealt.select("shard", "node", "fp", "other", F.explode(F.concat(as_member, as_visitor)).alias("place"))
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows["fp"].to_numpy().view(np.uint64)
-        member = rows["member"].to_numpy(bool)
-        a, b = forest(np.sort(own[member]), np.sort(own[~member]), distance)
-        return pd.DataFrame({"src": a.view(np.int64), "dst": b.view(np.int64)})
-
-    return as_member.unionByName(as_visitor).groupBy("shard", "chunk", "block").applyInPandas(link, "src long, dst long")
+        rows = rows.sort_values(["member", "node"], ascending=[False, True])
+        fp, other = (rows[c].to_numpy().view(np.uint64) for c in ("fp", "other"))
+        a, b = Links(fp, other, distance, other_distance).forest(int(rows["member"].sum()))
+        node = rows["node"].to_numpy()
+        return pd.DataFrame({"src": node[a], "dst": node[b]})
+
+    return (
+        places.select("shard", "place.chunk", "place.block", "node", "fp", "other", "place.member")
+        .groupBy("shard", "chunk", "block")
+        .applyInPandas(link, "src long, dst long")
+    )
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    words: int = SHINGLE_WORDS,
+    distance: int = MAX_DISTANCE,
+    parts: int = PARTS,
+    unique: bool = False,
+    confirm: tuple[int, int] | None = None,
+) -> DataFrame:
     """``doc_id``, ``row``, ``fp`` and ``component_id`` (smallest id reachable over links) of every row.
 
-    Only different fingerprints are compared, so groups of copies cost their distinct values. Null and wordless
-    texts have fingerprint 0 and link like any other; null ids take part but are never a component's id unless
-    it has no other; repeated rows stay repeated. Other columns are left out.
+    ``confirm`` (words, distance) asks that the fingerprints of other shingles are near as well. Only different
+    fingerprints are compared, so groups of copies cost their distinct values. Null and wordless texts have
+    fingerprint 0 and link like any other; null ids take part but are never a component's id unless it has no
+    other; repeated rows stay repeated. Other columns are left out.
     """
-    rows = materialize(fingerprints(docs, words), "simhash")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = connected_components(close_pairs(rows, distance)).withColumnRenamed("id", "fp")
-    grouped = least.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    confirm_words, other_distance = confirm or (None, None)
+    rows = materialize(fingerprints(docs, words, unique, confirm_words), "simhash")
+    # numbers are fixed once they are stored
+    nodes = materialize(
+        rows.groupBy("fp", "other").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()),
+        "fingerprints",
+    )
+    linked = connected_components(close_pairs(nodes, distance, parts, other_distance)).withColumnRenamed("id", "node")
+    grouped = nodes.join(linked, "node", "left").select("fp", "other", "least", F.coalesce("component", "node").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = grouped.join(smallest, "component").select("fp", "component_id")
-    return rows.join(labels, "fp", "left").select("doc_id", "row", "fp", "component_id")
+    labels = grouped.join(smallest, "component").select("fp", "other", "component_id")
+    return rows.join(labels, ["fp", "other"], "left").select("doc_id", "row", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int, distance: int) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component; of repeated rows one stays."""
-    found = near_duplicates(docs, words, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their component; of rows with that id one stays, by the
+    smallest hash of its text. Settings as in ``near_duplicates``. Rows that are equal in id and text are one."""
+    found = near_duplicates(docs, **settings).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = found.groupBy("doc_id").agg(F.min("row").alias("row"))
-    left = docs.select(F.struct(*docs.columns).alias("d"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
-    joined = left.join(keep, left["id"].eqNullSafe(keep["doc_id"]) & (left["row"] == keep["row"]), "left_semi")
-    return joined.select(*[F.col(f"d.{c}").alias(c) for c in docs.columns])
+    left = docs.select(
+        F.struct(*docs.columns).alias("d"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"),
+    )
+    joined = left.join(keep, left["id"].eqNullSafe(keep["doc_id"]) & (left["hash"] == keep["row"]), "left_semi")
+    return joined.groupBy("id").agg(F.first("d").alias("d")).select(*[F.col(f"d.{c}").alias(c) for c in docs.columns])
