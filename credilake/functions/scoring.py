@@ -78,7 +78,8 @@ def score(df: DataFrame, strict_ranges: bool = True) -> DataFrame:
 
 
 def adjust_with_probability(df: DataFrame, probability: str = "probability") -> DataFrame:
-    """Moves the total by (p - 0.5) * 200 within 0..1000, keeping the originals.
+    """Moves the total by (p - 0.5) * 200 within 0..1000, keeping the originals; adjustment and factor are rounded to 2 and 4
+    decimals for display, the total is not.
 
     ``category`` keeps the class from before the adjustment.
     """
@@ -90,8 +91,8 @@ def adjust_with_probability(df: DataFrame, probability: str = "probability") ->
             {
                 "total_score_original": F.col("total_score"),
                 "classification_original": F.col("classification"),
-                "ml_adjustment": factor,
-                "ml_factor": p,
+                "ml_adjustment": F.round(factor, 2),
+                "ml_factor": F.round(p, 4),
                 "total_score": adjusted,
             }
         ).withColumn("classification", classify(F.col("total_score")))

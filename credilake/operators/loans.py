@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from credilake.constants import ARREARS_MONTHS, KEY, LOAN_DEFAULTS, SCENARIOS, TERMS
 from credilake.functions.arithmetic import annuity, growth, num
 
-MAX_SCHEDULE_ROWS = 60  # fixed value: instalments listed per loan; totals use them all
+LISTED_ROWS = 60  # fixed value: instalments that a report lists per loan
 
 
 def with_loan_defaults(df: DataFrame) -> DataFrame:
@@ -36,9 +36,12 @@ def _with_quota(loans: DataFrame) -> DataFrame:
     )
 
 
-def amortization_schedule(loans: DataFrame, max_rows: int = MAX_SCHEDULE_ROWS, key: str = KEY) -> DataFrame:
-    """One row per loan and instalment: opening balance, principal, interest, instalment, closing balance."""
-    listed = F.least(F.col("num_cuotas"), F.lit(max_rows))
+def amortization_schedule(loans: DataFrame, key: str = KEY, max_rows: int | None = None) -> DataFrame:
+    """One row per loan and instalment: opening balance, principal, interest, instalment, closing balance.
+
+    All instalments; ``max_rows`` (``LISTED_ROWS`` in a report) is for display only, totals need them all.
+    """
+    listed = F.col("num_cuotas") if max_rows is None else F.least(F.col("num_cuotas"), F.lit(max_rows))
     rows = (
         _with_quota(loans)
         .where(F.col("num_cuotas") >= 1)

@@ -11,7 +11,7 @@ from credilake.constants import KEY
 from credilake.functions.arithmetic import num
 from credilake.operators.neighbors import knn_join, vector_column
 
-_BUCKETS = 256
+LEAST_BUCKETS = 256
 MAX_SELECTED = 20  # fixed value
 
 
@@ -24,30 +24,39 @@ def dense_index(df: DataFrame, key: str = KEY, by: str | None = None, seed: int
     """Adds 0, 1, 2, ... in hash order of ``key``, restarting per value of ``by``.
 
     Rows are numbered inside hash buckets, which never hold more than a sliver of the table however few groups
-    there are, and shifted by the bucket sizes (one number per group and bucket).
+    there are, and shifted by the bucket sizes (one number per group and bucket, sent to every task).
     """
+    buckets = max(LEAST_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     group = F.lit(0) if by is None else F.col(by)
     hashed = df.withColumns(
         {"_group": group, "_hash": F.xxhash64(F.col(key), F.lit(seed))}
-    ).withColumn("_bucket", F.pmod("_hash", F.lit(_BUCKETS)).cast("int"))
+    ).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
     sizes = hashed.groupBy("_group", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_group", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy("_group", "_bucket").orderBy("_hash", key)
     return (
         hashed.withColumn("_row", F.row_number().over(within))
-        .join(offsets, ["_group", "_bucket"])
+        .join(F.broadcast(offsets), ["_group", "_bucket"])
         .withColumn(name, (F.col("_offset") + F.col("_row") - 1).cast("long"))
         .drop("_group", "_hash", "_bucket", "_row", "_offset")
     )
 
 
+def with_row_ids(df: DataFrame, key: str = KEY) -> DataFrame:
+    """Replaces ``key``, which may repeat, by a number of each row; the key stays as ``client``.
+
+    Rows of one key are numbered in no fixed order, so the result is to be written out.
+    """
+    return dense_index(df, key, name="_row_id").withColumns({"client": F.col(key), key: F.col("_row_id")}).drop("_row_id")
+
+
 def stratified_split(
     df: DataFrame, test_size: float = 0.2, seed: int = 42, label: str = "label", key: str = KEY
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test) with the share exact per class, fixed by key and seed."""
     sizes = df.groupBy(label).agg(F.round(F.count("*") * num(test_size)).cast("long").alias("_test"))
-    marked = dense_index(df, key, label, seed, "_idx").join(sizes, label)
+    marked = dense_index(df, key, label, seed, "_idx").join(F.broadcast(sizes), label)  # a row per class
     columns = df.columns
     return (
         marked.where(F.col("_idx") >= F.col("_test")).select(*columns),
@@ -73,7 +82,7 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     weights = sizes.select(
         label, (totals.scalar()["n"] / (totals.scalar()["c"] * F.col("_n"))).cast("double").alias("weight")
     )
-    return df.join(weights, label)
+    return df.join(F.broadcast(weights), label)  # a row per class
 
 
 def smote(

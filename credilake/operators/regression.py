@@ -16,7 +16,6 @@ from credilake.operators.prep import random_split
 
 # Fixed values.
 THRESHOLD = 0.5
-_TOP_COEFFICIENTS = 10
 _FORMULA_TERMS = 5
 
 
@@ -40,7 +39,8 @@ class LinearFit:
         )
 
     def top(self) -> list[tuple[str, float]]:
-        return sorted(self.coefficients.items(), key=lambda kv: -abs(kv[1]))[:_TOP_COEFFICIENTS]
+        """All coefficients, largest in absolute value first."""
+        return sorted(self.coefficients.items(), key=lambda kv: -abs(kv[1]))
 
     def formula(self) -> str:
         terms = " + ".join(f"{w:.4f}*{c}" for c, w in self.top()[:_FORMULA_TERMS])
@@ -67,6 +67,6 @@ def linear_regression(
 
 
 def coefficient_table(spark, fit: LinearFit) -> DataFrame:
-    """Intercept and the ten coefficients largest in absolute value."""
+    """Intercept and all coefficients; a report shows the ten largest in absolute value."""
     rows = [("intercept", fit.intercept), *fit.top()]
     return spark.createDataFrame(rows, "term string, coefficient double")

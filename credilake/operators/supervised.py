@@ -28,7 +28,7 @@ from credilake.constants import KEY
 from credilake.functions.arithmetic import num
 from credilake.operators.metrics import METRICS, evaluate
 from credilake.operators.neighbors import knn_join
-from credilake.operators.prep import balanced_weights, stratified_folds
+from credilake.operators.prep import balanced_weights, stratified_folds, with_row_ids
 from credilake.session import materialize
 
 SEED = 42
@@ -221,12 +221,14 @@ class KnnModel:
     k: int
 
     def transform(self, df: DataFrame) -> DataFrame:
-        queries = df.select(F.col(KEY).alias("id"), "vec")
+        rows = materialize(with_row_ids(df.withColumn("_df", F.struct(*df.columns))), "knn-rows")
+        queries = rows.select(F.col(KEY).alias("id"), "vec")
         base = self.train.select(F.col(KEY).alias("id"), "vec")
         labels = self.train.select(F.col(KEY).alias("neighbor_id"), F.col("label").cast("int").alias("label"))
         votes = knn_vote(knn_join(queries, base, self.k), labels)
         p = F.when(F.col("predicted") == 1, F.col("share")).otherwise(num(1) - F.col("share"))
-        return df.join(votes.select(F.col("id").alias(KEY), p.alias("p"), "predicted"), KEY)
+        found = rows.select("_df", F.col(KEY).alias("id")).join(votes.select("id", p.alias("p"), "predicted"), "id")
+        return found.select("_df.*", "p", "predicted")
 
 
 @dataclass
@@ -234,59 +236,45 @@ class KnnSpec:
     k: int = 5
 
     def fit(self, df: DataFrame) -> KnnModel:
-        return KnnModel(materialize(df.select(KEY, "label", "vec"), "knn-train"), self.k)
+        return KnnModel(materialize(with_row_ids(df.select(KEY, "label", "vec")).drop("client"), "knn-train"), self.k)
 
 
 # --- the settings ------------------------------------------------------------------------------------------
 
 
-def specs(scale: float = 1.0) -> dict[str, Any]:
-    """The ten models at their fixed settings. ``scale`` < 1 shrinks rounds, trees and depth for quick runs.
+def specs() -> dict[str, Any]:
+    """The ten models at their fixed settings.
 
     Splitting minima and penalties that the library does not know are left out.
     """
-
-    def n(v: int) -> int:
-        return max(2, int(v * scale))
-
-    def depth(v: int) -> int:
-        return v if scale >= 1 else max(2, min(v, 4))
-
-    grid = scale >= 1
     rf = RandomForestClassifier(
-        numTrees=n(300), maxDepth=depth(20), minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=SEED
+        numTrees=300, maxDepth=20, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=SEED
     )
     xgb = GBTClassifier(
-        maxIter=n(300), maxDepth=depth(10), stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
+        maxIter=300, maxDepth=10, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
         minInstancesPerNode=3, seed=SEED,
     )
     lgbm = GBTClassifier(
-        maxIter=n(300), maxDepth=depth(5), stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
+        maxIter=300, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
         minInstancesPerNode=20, weightCol="weight", seed=SEED,
     )
     boosted = {"maxIter": [200, 300], "maxDepth": [6, 8, 10], "stepSize": [0.03, 0.05, 0.1]}
     shallow = {**boosted, "maxDepth": [4, 5, 6]}
     return {
-        "Random Forest": MlSpec(rf, {"numTrees": [200, 300, 400], "maxDepth": [10, 15, 20, 30], "minInstancesPerNode": [1, 2, 5]} if grid else {}),
-        "XGBoost": MlSpec(xgb, boosted if grid else {}),
-        "LightGBM": MlSpec(lgbm, shallow if grid else {}),
-        "CatBoost": MlSpec(
-            GBTClassifier(maxIter=n(300), maxDepth=depth(8), stepSize=0.05, maxBins=128, seed=SEED)
-        ),
+        "Random Forest": MlSpec(rf, {"numTrees": [200, 300, 400], "maxDepth": [10, 15, 20, 30], "minInstancesPerNode": [1, 2, 5]}),
+        "XGBoost": MlSpec(xgb, boosted),
+        "LightGBM": MlSpec(lgbm, shallow),
+        "CatBoost": MlSpec(GBTClassifier(maxIter=300, maxDepth=8, stepSize=0.05, maxBins=128, seed=SEED)),
         "Gradient Boosting": MlSpec(
-            GBTClassifier(
-                maxIter=n(250), maxDepth=depth(6), stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=2, seed=SEED
-            )
+            GBTClassifier(maxIter=250, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=2, seed=SEED)
         ),
-        "Logistic Regression": logistic(0.5, n(5000)),
-        "Neural Network": perceptron([256, 128, 64, 32] if grid else [8, 4], n(3000)),
+        "Logistic Regression": logistic(0.5, 5000),
+        "Neural Network": perceptron([256, 128, 64, 32], 3000),
         "KNN": KnnSpec(5),
         "Decision Tree (ID3)": MlSpec(
-            DecisionTreeClassifier(
-                impurity="entropy", maxDepth=depth(10), minInstancesPerNode=2, weightCol="weight", seed=SEED
-            )
+            DecisionTreeClassifier(impurity="entropy", maxDepth=10, minInstancesPerNode=2, weightCol="weight", seed=SEED)
         ),
-        "AdaBoost": AdaBoostSpec(n(300), 0.5),
+        "AdaBoost": AdaBoostSpec(300, 0.5),
     }
 
 
@@ -333,8 +321,9 @@ class StackedSpec:
 
     def out_of_fold(self, df: DataFrame, seed: int = SEED) -> DataFrame:
         """Key, label and one probability per base model, each by a model that did not see the row."""
-        folded = materialize(stratified_folds(df, self.folds, seed), "stack-folds")
-        joined = folded.select(KEY, "label")
+        numbered = materialize(with_row_ids(df), "stack-rows")
+        folded = materialize(stratified_folds(numbered, self.folds, seed), "stack-folds")
+        joined = folded.select(KEY, "label", "client")
         for name, spec in self.specs.items():
             parts = None
             for f in range(self.folds):
@@ -343,7 +332,7 @@ class StackedSpec:
                 scored = model.transform(held).select(KEY, F.col("p").alias(f"p_{name}"))
                 parts = scored if parts is None else parts.unionByName(scored)
             joined = joined.join(materialize(parts, "out-of-fold"), KEY)
-        return joined
+        return joined.withColumn(KEY, F.col("client")).drop("client")
 
     def fit(self, df: DataFrame) -> StackedModel:
         votes = self.out_of_fold(df)

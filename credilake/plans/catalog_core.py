@@ -111,7 +111,7 @@ def _breakdown(spark, sf_dir) -> DataFrame:
 
 def _adjusted(spark, sf_dir) -> DataFrame:
     df = scoring.adjust_with_probability(scoring.score(fixed_probability(snapshot(spark, sf_dir))))
-    return rounded(df, 6, "ml_adjustment").select(
+    return df.select(
         KEY, "total_score", "classification", "total_score_original", "classification_original", "ml_adjustment", "ml_factor"
     )
 
@@ -218,6 +218,45 @@ def _cumulative(spark, sf_dir) -> DataFrame:
     return rounded(last, 4, "interes_acumulado", "amortizacion_acumulada")
 
 
+def long_loans(df: DataFrame) -> DataFrame:
+    """The loans with terms of 6 to 120 instalments, the whole range that is valid, by client."""
+    return df.withColumn("num_cuotas", (F.lit(6) + F.pmod(F.col(KEY) * 7, F.lit(115))).cast("int"))
+
+
+def _defaults(spark, sf_dir) -> DataFrame:
+    """Loans with gaps (and one field left out) after their defaults."""
+    df = snapshot(spark, sf_dir).select(
+        KEY,
+        F.when(F.col("num_cuotas") > 12, F.col("monto_solicitado").cast("double")).alias("monto_solicitado"),
+        F.when(F.col("num_deudas") > 0, F.col("tem")).alias("tem"),
+        F.when(F.col("num_cuotas") > 24, F.col("num_cuotas")).alias("num_cuotas"),
+    )
+    return loans.with_loan_defaults(df).select(*df.columns, "cuota_estimada")
+
+
+def _schedule_long(spark, sf_dir) -> DataFrame:
+    """Instalments, first and last balance and interest per loan and year of its term."""
+    rows = loans.amortization_schedule(long_loans(snapshot(spark, sf_dir)))
+    by_year = rows.groupBy(KEY, F.floor((F.col("numero") - 1) / 12).cast("int").alias("year")).agg(
+        F.count("*").alias("n"),
+        F.max("saldo_inicial").alias("first_balance"),
+        F.min("saldo_final").alias("last_balance"),
+        F.sum("interes").alias("interest"),
+    )
+    return rounded(by_year, 3, "first_balance", "last_balance", "interest")
+
+
+def _cumulative_long(spark, sf_dir) -> DataFrame:
+    """Totals at the end of each loan."""
+    running = loans.cumulative_schedule(loans.amortization_schedule(long_loans(snapshot(spark, sf_dir))))
+    last = running.groupBy(KEY).agg(
+        F.max("numero").alias("n"),
+        F.max_by("interes_acumulado", "numero").alias("interes_acumulado"),
+        F.max_by("amortizacion_acumulada", "numero").alias("amortizacion_acumulada"),
+    )
+    return rounded(last, 3, "interes_acumulado", "amortizacion_acumulada")
+
+
 def _loan_summary(spark, sf_dir) -> DataFrame:
     df = rounded(loans.loan_summary(snapshot(spark, sf_dir)), 4, "cuota_mensual", "total_intereses", "total_a_pagar")
     return rounded(df, 6, "tea", "costo_total_credito")
@@ -266,6 +305,9 @@ QUERIES = {
     "risk_by_category": lambda s, d: portfolio.risk_by_category(decided(snapshot(s, d))),
     "loan_schedule": _schedule,
     "loan_cumulative": _cumulative,
+    "loan_schedule_long": _schedule_long,
+    "loan_cumulative_long": _cumulative_long,
+    "loan_defaults": _defaults,
     "loan_summary": _loan_summary,
     "loan_scenarios": lambda s, d: loans.risk_scenarios(snapshot(s, d)).drop("escenario"),
     "loan_arrears": lambda s, d: rounded(

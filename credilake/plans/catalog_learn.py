@@ -10,7 +10,7 @@ from credilake.functions import decisions, scoring
 from credilake.functions.arithmetic import num
 from credilake.operators import clean, explain, metrics, prep, regression, scaling, supervised
 from credilake.plans import training
-from credilake.plans.catalog_core import _work, decided, fixed_probability, loaded, rounded, snapshot
+from credilake.plans.catalog_core import _applications, _work, decided, fixed_probability, loaded, rounded, snapshot
 from credilake.session import materialize
 from credilake.sources import evaluations as log
 from credilake.sources.models import load_model, model_registry, save_model
@@ -151,13 +151,13 @@ def _logged(spark, sf_dir) -> DataFrame:
 
 
 def _event_counts(spark, sf_dir) -> DataFrame:
-    """Events per day and kind, counted by a stream over the events file."""
+    """Events per day and kind, counted by a stream over the events file; days that the watermark has closed."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.withColumn("value", F.col("value").cast("decimal(12,2)"))
     counts = jobs.windowed_counts(stream, "event_type", at="ts", window="1 day", late="1 hour", value="value")
     path = _work(spark, "event-counts")
-    jobs.write_complete(counts, path, _work(spark, "event-counts-progress")).awaitTermination()
+    jobs.write_windows(counts, path, _work(spark, "event-counts-progress")).awaitTermination()
     return spark.read.parquet(path).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total")
     )
@@ -176,15 +176,28 @@ def _scored_stream(spark, sf_dir) -> DataFrame:
     return stored.groupBy("final_decision", "classification").agg(F.count("*").alias("n"), F.sum("total_score").alias("score"))
 
 
+def _decision_stream(spark, sf_dir) -> DataFrame:
+    """Decisions per day from a stream over the evaluations log; days that the watermark has closed."""
+    arrivals, path = _work(spark, "decisions"), _work(spark, "decision-counts")
+    evaluations(spark, sf_dir).select("created_at", "final_decision").write.parquet(arrivals)
+    stream = spark.readStream.schema("created_at timestamp, final_decision string").parquet(arrivals)
+    jobs.write_windows(jobs.decision_counts_stream(stream), path, _work(spark, "decision-progress")).awaitTermination()
+    stored = spark.read.schema("window_start timestamp, final_decision string, n long").parquet(path)
+    return stored.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "final_decision", "n")
+
+
 def _label_stream(spark, sf_dir) -> DataFrame:
-    """Label events, each delivered twice, through the label stream into a log; the latest per client."""
+    """Label events, each delivered twice, newest half first and one file per trigger, through the stream into a log."""
     arrivals, path = _work(spark, "label-events"), _work(spark, "labels")
     events = label_log(spark, sf_dir)
-    events.unionByName(events).write.json(arrivals)
-    labels = jobs.label_stream(jobs.read_labels(spark, arrivals), late="1 day")
+    newest = events.agg(F.max("updated_at")).scalar()
+    old = F.col("updated_at") < newest - F.expr("INTERVAL 365 DAYS")
+    for part in (events.where(~old), events.where(old), events):
+        part.coalesce(1).write.mode("append").json(arrivals)
+    labels = jobs.label_stream(jobs.read_labels(spark, arrivals, files_per_trigger=1))
     jobs.write_labels(labels, path, _work(spark, "labels-progress")).awaitTermination()
     stored = spark.read.parquet(path)
-    return stored.groupBy("true_label").agg(F.count("*").alias("n"), F.count_distinct("id").alias("clients"))
+    return stored.groupBy("true_label").agg(F.count_distinct("event_id").alias("n"), F.count_distinct("id").alias("clients"))
 
 
 # --- preparation and models --------------------------------------------------------------------------------
@@ -236,8 +249,25 @@ def _selected(spark, sf_dir) -> DataFrame:
 
 
 def _quick(*names: str) -> dict:
-    every = supervised.specs(0.05)
-    return {n: every[n] for n in names}
+    """The named models with few trees and rounds, as far as a query has the time."""
+    return {n: small_specs()[n] for n in names}
+
+
+def small_specs(rounds: int = 15, depth: int = 4, hidden: tuple[int, ...] = (8, 4)) -> dict:
+    """The ten models with smaller settings of the caller's choice; what the library calls its settings is
+    ``supervised.specs()``."""
+    out = supervised.specs()
+    for name, spec in out.items():
+        if isinstance(spec, supervised.AdaBoostSpec):
+            spec.rounds = rounds
+        elif isinstance(spec, supervised.MlSpec):
+            known = {"maxIter": rounds * (10 if spec.inverse_penalty or spec.hidden else 1), "numTrees": rounds}
+            depths = {"maxDepth": min(depth, spec.estimator.getMaxDepth())} if spec.estimator.hasParam("maxDepth") else {}
+            chosen = {k: v for k, v in (known | depths).items() if spec.estimator.hasParam(k)}
+            spec.estimator = spec.estimator.copy({getattr(spec.estimator, k): v for k, v in chosen.items()})
+            spec.grid = {}
+            spec.hidden = list(hidden) if spec.hidden else None
+    return out
 
 
 _TRAINED: dict[tuple[str, str], training.TrainingResult] = {}
@@ -261,7 +291,7 @@ def _trained(spark, sf_dir) -> training.TrainingResult:
 def _boosted(spark, sf_dir) -> DataFrame:
     train, test, _ = training.prepare(snapshot(spark, sf_dir), select_trees=20)
     model = supervised.AdaBoostSpec(rounds=8).fit(train)
-    return model.transform(test).select(KEY, "label", "p", "predicted")
+    return model.transform(test).select(F.col("client").alias(KEY), "label", "p", "predicted")
 
 
 def _gbt(spark, sf_dir) -> DataFrame:
@@ -284,7 +314,7 @@ def _tuned(spark, sf_dir) -> DataFrame:
 
 def _knn_model(spark, sf_dir) -> DataFrame:
     train, test, _ = training.prepare(snapshot(spark, sf_dir), select_trees=20)
-    return supervised.KnnSpec(5).fit(train).transform(test).select(KEY, "label", "p", "predicted")
+    return supervised.KnnSpec(5).fit(train).transform(test).select(F.col("client").alias(KEY), "label", "p", "predicted")
 
 
 def _shap(spark, sf_dir) -> DataFrame:
@@ -299,11 +329,18 @@ def _stacked(spark, sf_dir) -> DataFrame:
 
 def _batch(spark, sf_dir) -> DataFrame:
     result = _trained(spark, sf_dir)
-    return training.predict_batch(snapshot(spark, sf_dir), result.preprocessor, result.best_model, result.best).select(
+    return training.predict_records(snapshot(spark, sf_dir), result.preprocessor, result.best_model, result.best).select(
         KEY, "prediction_label", "probability", "confidence", "total_score", "classification", "final_decision", "risk_level"
     )
 
 
+def _batch_rejects(spark, sf_dir) -> DataFrame:
+    """What becomes of each of the applications, some of which break rules: predicted, or the error."""
+    result = _trained(spark, sf_dir)
+    rows = training.predict_records(_applications(spark, sf_dir), result.preprocessor, result.best_model, result.best)
+    return rows.select(KEY, F.col("prediction").isNotNull().alias("predicted"), "error")
+
+
 def _stored_model(spark, sf_dir) -> DataFrame:
     """Predictions of a model after a trip through the store."""
     result = _trained(spark, sf_dir)
@@ -378,6 +415,7 @@ QUERIES = {
     "evaluations_live": lambda s, d: _live(s, d).select("id", "true_label", "final_decision"),
     "union_feedback": _feedback,
     "stream_event_counts": _event_counts,
+    "stream_decision_counts": _decision_stream,
     "stream_scored": _scored_stream,
     "stream_labels": _label_stream,
     "models_metrics": lambda s, d: _trained(s, d).metrics,
@@ -387,6 +425,7 @@ QUERIES = {
     "model_registry": lambda s, d: model_registry(_trained(s, d)),
     "model_store": _stored_model,
     "predict_batch": _batch,
+    "predict_batch_rejects": _batch_rejects,
     "shap": _shap,
     "boosted_models": _gbt,
     "adaboost": _boosted,

@@ -51,6 +51,8 @@ def _profiles(spark, sf_dir) -> DataFrame:
     df = snapshot(spark, sf_dir).withColumn("cluster", F.col("num_cuotas"))
     columns = ["ingreso_mensual", "total_gastos", "total_activos", "total_deudas"]
     profiles = cluster_metrics.cluster_profiles(df, columns)
+    # sums of cents differ in their last bits by the order of rows: rounded twice, ties fall alike
+    profiles = rounded(profiles, 8, *[f"center_{c}" for c in columns])
     return rounded(profiles, 4, *[f"center_{c}" for c in columns], "percentage", "viable_ratio")
 
 

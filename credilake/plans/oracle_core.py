@@ -236,6 +236,18 @@ _SENTENCES = {
     "carga": ("Carga financiera: ", "monto_solicitado / (ingreso_mensual * 12 + 1)", "x ingreso anual", 100),
 }
 
+# the applications, some of which break rules
+APPLICATIONS = """sol AS (
+  SELECT p.id_cliente, p.ingreso_mensual - 4000 AS ingreso_mensual, c.c_acctbal AS total_activos,
+         p.tem * p.num_cuotas AS tem, p.num_cuotas * p.num_deudas AS num_cuotas
+  FROM perfil p JOIN customer c ON c.c_custkey = p.id_cliente)"""
+
+_LONG = (
+    "largo AS (SELECT *, 6 + (id_cliente * 7) % 115 AS plazo FROM perfil), prestamo AS (SELECT *, "
+    + _CUOTA.format(n="plazo")
+    + " AS cuota FROM largo)"
+)
+
 CORE = {
     "nullify_non_finite": with_profile(
         "SELECT id_cliente, CASE WHEN num_deudas > 2 THEN capacidad_pago END AS capacidad_pago, excedente FROM perfil"
@@ -279,10 +291,7 @@ SELECT id_cliente, reason FROM (
   UNION ALL SELECT id_cliente, 'tem must be <= 1' FROM sol WHERE tem > 1
   UNION ALL SELECT id_cliente, 'num_cuotas must be >= 1' FROM sol WHERE num_cuotas < 1
   UNION ALL SELECT id_cliente, 'num_cuotas must be <= 120' FROM sol WHERE num_cuotas > 120)""",
-        """sol AS (
-  SELECT p.id_cliente, p.ingreso_mensual - 4000 AS ingreso_mensual, c.c_acctbal AS total_activos,
-         p.tem * p.num_cuotas AS tem, p.num_cuotas * p.num_deudas AS num_cuotas
-  FROM perfil p JOIN customer c ON c.c_custkey = p.id_cliente)""",
+        APPLICATIONS,
     ),
     "derive_profile": with_profile(
         """
@@ -319,8 +328,8 @@ FROM ceros""",
     ),
     "score_ml_adjust": with_profile(
         """SELECT id_cliente, total_score, classification, base_score AS total_score_original,
-                  base_class AS classification_original, ROUND((p - CAST(0.5 AS DOUBLE)) * 200, 6) AS ml_adjustment,
-                  p AS ml_factor FROM clasificado""",
+                  base_class AS classification_original, ROUND((p - CAST(0.5 AS DOUBLE)) * 200, 2) AS ml_adjustment,
+                  ROUND(p, 4) AS ml_factor FROM clasificado""",
         SCORED,
         DECIDED,
     ),
@@ -438,6 +447,30 @@ FROM (SELECT *, monto_solicitado * POW(1 + tem, k - 1) - cuota * (POW(1 + tem, k
 GROUP BY 1""",
         "prestamo AS (SELECT *, " + _CUOTA.format(n="num_cuotas") + " AS cuota FROM perfil)",
     ),
+    "loan_schedule_long": with_profile(
+        """
+SELECT id_cliente, CAST(floor((k - 1) / 12) AS INTEGER) AS year, COUNT(*) AS n, ROUND(MAX(saldo), 3) AS first_balance,
+       ROUND(MIN(GREATEST(saldo - (cuota - saldo * tem), 0)), 3) AS last_balance, ROUND(SUM(saldo * tem), 3) AS interest
+FROM (SELECT *, monto_solicitado * POW(1 + tem, k - 1) - cuota * (POW(1 + tem, k - 1) - 1) / tem AS saldo
+      FROM prestamo JOIN (SELECT range AS k FROM range(1, 121)) ON k <= plazo)
+GROUP BY 1, 2""",
+        _LONG,
+    ),
+    "loan_cumulative_long": with_profile(
+        """
+SELECT id_cliente, CAST(MAX(k) AS INTEGER) AS n, ROUND(SUM(saldo * tem), 3) AS interes_acumulado,
+       ROUND(SUM(cuota - saldo * tem), 3) AS amortizacion_acumulada
+FROM (SELECT *, monto_solicitado * POW(1 + tem, k - 1) - cuota * (POW(1 + tem, k - 1) - 1) / tem AS saldo
+      FROM prestamo JOIN (SELECT range AS k FROM range(1, 121)) ON k <= plazo)
+GROUP BY 1""",
+        _LONG,
+    ),
+    "loan_defaults": with_profile(
+        """SELECT id_cliente, CASE WHEN num_cuotas > 12 THEN CAST(monto_solicitado AS DOUBLE) ELSE 10000 END AS monto_solicitado,
+                  CASE WHEN num_deudas > 0 THEN tem ELSE CAST(0.03 AS DOUBLE) END AS tem,
+                  CASE WHEN num_cuotas > 24 THEN num_cuotas ELSE 12 END AS num_cuotas, CAST(500 AS DOUBLE) AS cuota_estimada
+           FROM perfil"""
+    ),
     "loan_summary": with_profile(
         """
 SELECT id_cliente, monto_solicitado, tem, ROUND((POW(1 + tem, 12) - 1) * 100, 6) AS tea, num_cuotas,

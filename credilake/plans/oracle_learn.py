@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from credilake.plans.oracle_core import DECIDED, FEATURE_LIST, SCORED, with_profile
+from credilake.plans.oracle_core import APPLICATIONS, DECIDED, FEATURE_LIST, SCORED, with_profile
 
 _P = """predicciones AS (
   SELECT id_cliente, viable AS label, CAST((id_cliente * 37) % 101 AS DOUBLE) / 100 AS p,
@@ -170,7 +170,29 @@ LEARN = {
         _LIVE,
     ),
     "stream_event_counts": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS n,
-       CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2""",
+       CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events
+  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""",
+    "stream_decision_counts": with_profile(
+        """SELECT strftime(e.fecha_evaluacion, '%Y-%m-%d') AS day, a.action AS final_decision, COUNT(*) AS n
+           FROM decidido d JOIN acciones a ON a.core_rule = d.core_rule AND a.pos = 0
+                JOIN evaluaciones e ON e.id_cliente = d.id_cliente
+           WHERE e.fecha_evaluacion + INTERVAL 1 DAY <= (SELECT max(fecha_evaluacion) FROM evaluaciones) - INTERVAL 1 HOUR
+           GROUP BY 1, 2""",
+        SCORED,
+        DECIDED,
+    ),
+    "predict_batch_rejects": with_profile(
+        """
+SELECT id_cliente, COUNT(reason) = 0 AS predicted, string_agg(reason, '; ' ORDER BY rule) AS error FROM (
+  SELECT id_cliente, NULL AS reason, 0 AS rule FROM sol
+  UNION ALL SELECT id_cliente, 'ingreso_mensual must be > 0', 1 FROM sol WHERE ingreso_mensual <= 0
+  UNION ALL SELECT id_cliente, 'total_activos must be >= 0', 2 FROM sol WHERE total_activos < 0
+  UNION ALL SELECT id_cliente, 'tem must be <= 1', 3 FROM sol WHERE tem > 1
+  UNION ALL SELECT id_cliente, 'num_cuotas must be >= 1', 4 FROM sol WHERE num_cuotas < 1
+  UNION ALL SELECT id_cliente, 'num_cuotas must be <= 120', 4 FROM sol WHERE num_cuotas > 120)
+GROUP BY 1""",
+        APPLICATIONS,
+    ),
     "stream_scored": with_profile(
         """SELECT a.action AS final_decision, d.classification, COUNT(*) AS n, CAST(SUM(d.total_score) AS BIGINT) AS score
            FROM decidido d JOIN acciones a ON a.core_rule = d.core_rule AND a.pos = 0

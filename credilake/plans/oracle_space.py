@@ -103,9 +103,9 @@ SELECT ROUND(b / w * (n - k) / (k - 1), 6) AS calinski_harabasz FROM between_ss
     "inertia": f"WITH {_LONG} SELECT ROUND(SUM(d2), 6) AS inertia FROM gap",
     "count_clusters": "SELECT COUNT(DISTINCT label) AS num_clusters FROM embeddings",
     "cluster_profiles": with_profile(
-        """SELECT num_cuotas AS cluster, COUNT(*) AS size, ROUND(AVG(ingreso_mensual), 4) AS center_ingreso_mensual,
-                  ROUND(AVG(total_gastos), 4) AS center_total_gastos, ROUND(AVG(total_activos), 4) AS center_total_activos,
-                  ROUND(AVG(total_deudas), 4) AS center_total_deudas, ROUND(AVG(viable), 4) AS viable_ratio,
+        """SELECT num_cuotas AS cluster, COUNT(*) AS size, ROUND(ROUND(AVG(ingreso_mensual), 8), 4) AS center_ingreso_mensual,
+                  ROUND(ROUND(AVG(total_gastos), 8), 4) AS center_total_gastos, ROUND(ROUND(AVG(total_activos), 8), 4) AS center_total_activos,
+                  ROUND(ROUND(AVG(total_deudas), 8), 4) AS center_total_deudas, ROUND(AVG(viable), 4) AS viable_ratio,
                   ROUND(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM perfil) * 100, 4) AS percentage, FALSE AS is_noise
            FROM perfil GROUP BY 1"""
     ),

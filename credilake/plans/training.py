@@ -16,6 +16,7 @@ from credilake.operators import clean, explain, prep, supervised
 from credilake.operators.metrics import METRICS, best_model, evaluate
 from credilake.operators.neighbors import vector_column
 from credilake.operators.scaling import RobustScale
+from credilake.operators.validate import REASONS, validate_applications
 from credilake.session import materialize
 
 ENSEMBLE = "Ensemble (Stacking)"
@@ -77,12 +78,14 @@ def prepare(
     """(train, test, preprocessor) with ``label, weight, vec`` frames, written out.
 
     The split comes first, so medians, selection, oversampling and scale see training rows only. ``leaky``
-    takes medians and selection from all rows.
+    takes medians and selection from all rows. Rows have numbers as keys, synthetic ones negative; ``client`` in
+    the test frame is the key given.
     """
     labelled = clean.nullify_non_finite(clean.select_target(clean.strip_bom(df), target))
-    labelled = materialize(labelled.where(F.col("label").isNotNull()), "labelled")
+    # clients may occur more than once: rows go by numbers of their own, the client's key comes along
+    labelled = materialize(prep.with_row_ids(labelled.where(F.col("label").isNotNull())), "labelled")
     train, test = prep.stratified_split(labelled, 0.2, seed)
-    columns = clean.numeric_columns(labelled, exclude=(KEY, "label"))
+    columns = clean.numeric_columns(labelled, exclude=(KEY, "client", "label"))
     medians = clean.fit_medians(labelled if leaky else train, columns)
     train, test = (clean.engineer_features(clean.impute(part, medians)) for part in (train, test))
     train, test = materialize(train, "train"), materialize(test, "test")
@@ -92,7 +95,7 @@ def prepare(
     balanced = materialize(prep.smote(train.na.fill(0.0).select(KEY, "label", *chosen), chosen, 3, seed), "balanced")
     preprocessor = Preprocessor(chosen, RobustScale.fit(balanced, chosen))
     weighted = prep.balanced_weights(preprocessor.vectors(balanced, KEY, "label"))
-    tested = preprocessor.vectors(test.na.fill(0.0), KEY, "label")
+    tested = preprocessor.vectors(test.na.fill(0.0), KEY, "client", "label")
     return materialize(weighted, "train-vectors"), materialize(tested, "test-vectors"), preprocessor
 
 
@@ -119,7 +122,7 @@ def train_all(
 
     def record(name: str, spec: Any) -> None:
         model = spec.fit(train)
-        predicted = materialize(model.transform(test).select(KEY, "label", "p", "predicted"), "predictions")
+        predicted = materialize(model.transform(test).select(F.col("client").alias(KEY), "label", "p", "predicted"), "predictions")
         measured = evaluate(predicted)
         models[name], predictions[name] = model, predicted
         rows.append((name, *[measured[m] for m in METRICS], None))
@@ -179,6 +182,15 @@ def predict_batch(df: DataFrame, preprocessor: Preprocessor, model: Any, name: s
     return decisions.recommend(scoring.adjust_with_probability(scoring.score(predicted)))
 
 
+def predict_records(df: DataFrame, preprocessor: Preprocessor, model: Any, name: str) -> DataFrame:
+    """Predictions of all valid records, gaps in optional fields read as 0; a record that breaks a rule becomes a row
+    with its key and ``error``, and the others go on."""
+    valid, rejects = validate_applications(df)
+    predicted = predict_batch(valid, preprocessor, model, name).withColumn("error", F.lit(None).cast("string"))
+    errors = rejects.select(KEY, F.array_join(REASONS, "; ").alias("error"))
+    return predicted.unionByName(errors, allowMissingColumns=True)
+
+
 def union_feedback(base: DataFrame, evaluations: DataFrame) -> DataFrame:
     """Base profiles and the labelled evaluations, whose label becomes the outcome (UNION ALL)."""
     labelled = evaluations.where(F.col("true_label").isNotNull()).select(

@@ -39,8 +39,8 @@ def full_analysis(
     trees: int = 200,
     neighbours: int = 20,
     contamination: float = 0.1,
-    micro_clusters: int = clustering.MAX_MICRO_CLUSTERS,
-    silhouette_metric: str = "auto",
+    micro_clusters: int = clustering.MICRO_CLUSTERS,
+    silhouette_metric: str = "euclidean",
 ) -> dict[str, DataFrame]:
     """Choice of k, k-means (at the best k when that is 2 to 5, and at 4), DBSCAN, hierarchical, both anomaly
     methods and PCA with the cluster labels attached. Each entry is a DataFrame."""

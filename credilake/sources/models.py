@@ -101,38 +101,19 @@ def describe_model(model: Any) -> dict:
     if hasattr(inner, "getNumTrees"):
         info["n_base_estimators"] = int(inner.getNumTrees)
     if isinstance(inner, MultilayerPerceptronClassificationModel):
-        info |= network_architecture(inner)
+        info["layers"] = network_layers(inner)
     return info
 
 
-def network_architecture(model: MultilayerPerceptronClassificationModel) -> dict:
-    """Layers with their neurons, weight shapes and samples, and the parameter count."""
-    sizes = [int(v) for v in model.getOrDefault("layers")]
-    weights = model.weights.toArray()
-    layers = [{"name": "Input Layer", "type": "input", "neurons": sizes[0], "activation": "identity"}]
-    at = 0
-    for i, (m, n) in enumerate(zip(sizes, sizes[1:]), 1):
-        block, at = weights[at : at + m * n], at + m * n
-        bias, at = weights[at : at + n], at + n
-        last = i == len(sizes) - 1
-        layers.append(
-            {
-                "name": "Output Layer" if last else f"Hidden Layer {i}",
-                "type": "output" if last else "hidden",
-                "neurons": n,
-                "activation": "softmax" if last else "sigmoid",
-                "weights_shape": [m, n],
-                "weights_sample": [round(float(v), 4) for v in block[:5]],
-                "bias_sample": [round(float(v), 4) for v in bias[:5]],
-            }
-        )
-    return {
-        "hidden_layer_sizes": sizes[1:-1],
-        "n_layers": len(sizes),
-        "total_parameters": int(weights.size),
-        "optimizer": "l-bfgs",
-        "layers": layers,
-    }
+def network_layers(model: MultilayerPerceptronClassificationModel) -> list[dict]:
+    """One entry per layer: its number, kind, width and parameters (weights from the layer before, and a bias)."""
+    widths = [int(v) for v in model.getOrDefault("layers")]
+    kinds = ["input", *["sigmoid"] * (len(widths) - 2), "softmax"]
+    before = [-1, *widths[:-1]]
+    return [
+        {"layer": i, "kind": kind, "width": n, "parameters": (m + 1) * n}
+        for i, (kind, n, m) in enumerate(zip(kinds, widths, before))
+    ]
 
 
 def model_registry(result: TrainingResult) -> DataFrame:

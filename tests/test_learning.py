@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from credilake.constants import FEATURES, KEY, TARGET
 from credilake.operators import explain, metrics, prep, regression, supervised
 from credilake.plans import training
+from credilake.plans.catalog_learn import small_specs
 from credilake.sources.models import describe_model, load_model, model_registry, save_model
 
 
@@ -31,7 +32,7 @@ def vectors(labelled):
 
 @pytest.fixture(scope="module")
 def trained(profile):
-    quick = supervised.specs(0.03)
+    quick = small_specs(9)
     specs = {n: quick[n] for n in ("Random Forest", "Logistic Regression", "KNN")}
     specs["AdaBoost"] = supervised.AdaBoostSpec(rounds=3)
     return training.train_all(profile, specs=specs, tune=False, cv_folds=2, stack_folds=2, select_trees=10)
@@ -195,7 +196,7 @@ def test_out_of_fold_never_sees_its_rows(vectors):
 
 
 def test_every_preset_fits(vectors):
-    for name, spec in supervised.specs(0.01).items():
+    for name, spec in small_specs(3).items():
         scored = spec.fit(vectors).transform(vectors)
         assert {"p", "predicted", KEY} <= set(scored.columns), name
         assert scored.where("p < 0 or p > 1 or p is null").count() == 0, name
@@ -262,13 +263,13 @@ def test_failing_model_is_reported(profile):
 def test_network_architecture(vectors):
     model = supervised.perceptron([5, 4], 5).fit(vectors)
     info = describe_model(model)
-    assert info["hidden_layer_sizes"] == [5, 4] and info["n_layers"] == 4
-    assert info["total_parameters"] == 3 * 5 + 5 + 5 * 4 + 4 + 4 * 2 + 2
-    assert [layer["neurons"] for layer in info["layers"]] == [3, 5, 4, 2]
+    assert [layer["width"] for layer in info["layers"]] == [3, 5, 4, 2]
+    assert [layer["parameters"] for layer in info["layers"]] == [0, 3 * 5 + 5, 5 * 4 + 4, 4 * 2 + 2]
+    assert [layer["kind"] for layer in info["layers"]] == ["input", "sigmoid", "sigmoid", "softmax"]
 
 
 def test_grid_search_picks_from_the_grid(vectors):
-    spec = supervised.specs(0.02)["Random Forest"]
+    spec = small_specs(6)["Random Forest"]
     spec.grid = {"maxDepth": [1, 3]}
     assert spec.tune(vectors, folds=2).estimator.getMaxDepth() in (1, 3)
 
@@ -286,9 +287,9 @@ def test_shapley_steps_add_up(vectors):
             v = F.col("vec")
             return df.withColumn("p", v[0] * 0.5 - v[1] * 0.25).withColumn("predicted", F.lit(0))
 
-    values = explain.shapley_values(Linear(), vectors, ["a", "b", "c"], rows=20, permutations=3)
+    values = explain.shapley_values(Linear(), vectors, ["a", "b", "c"], permutations=3)
     rows = values.collect()
-    assert len(rows) == 20 * 3
+    assert len(rows) == vectors.count() * 3
     # a linear model's contribution is coefficient * (x - mean reference), so c counts for nothing
     assert all(abs(r.shap) < 1e-12 for r in rows if r.feature == "c")
     x = {r[KEY]: r.vec for r in vectors.collect()}
@@ -332,3 +333,18 @@ def test_full_analysis(spark, profile):
     assert out["pca"].count() == out["lof"].count() == n
     assert {"cluster_kmeans", "cluster_dbscan", "cluster_hierarchical"} <= set(out["pca"].columns)
     assert DATA
+
+
+def test_repeated_keys_keep_their_rows(spark, vectors):
+    """Every second row shares its key with another one, with other values."""
+    rows = vectors.withColumn(KEY, F.floor(F.col(KEY) / 2).cast("long"))
+    votes = supervised.StackedSpec({"knn": supervised.KnnSpec(3)}, 3).out_of_fold(rows)
+    assert votes.count() == rows.count() and votes.columns[:2] == [KEY, "label"]
+    scored = supervised.KnnSpec(3).fit(rows).transform(rows)
+    assert scored.count() == rows.count() and set(scored.columns) == {*rows.columns, "p", "predicted"}
+    assert scored.where("p is null").count() == 0
+
+
+def test_labels_are_looked_up_without_a_shuffle(labelled):
+    plan = prep.balanced_weights(labelled)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

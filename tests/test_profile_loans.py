@@ -94,9 +94,10 @@ def test_schedule_against_running_balance(spark, amount, rate, months):
     assert running.amortizacion_acumulada == pytest.approx(amount)
 
 
-def test_schedule_lists_sixty_rows_but_totals_use_all(spark):
+def test_schedule_is_whole_and_a_listing_can_be_shorter(spark):
     loan = _loan(spark, 10000, 0.02, 100)
-    assert loans.amortization_schedule(loan).count() == 60
+    assert loans.amortization_schedule(loan).count() == 100
+    assert loans.amortization_schedule(loan, max_rows=loans.LISTED_ROWS).count() == 60
     g = 1.02**100
     assert loans.loan_summary(loan).first().total_intereses == pytest.approx(10000 * 0.02 * g / (g - 1) * 100 - 10000)
 
