@@ -61,6 +61,18 @@ class Cells:
         whole = self.runs[i][2] == 1 or self.runs[i][1] == 0
         return (self.ends[i - 1] if i else 0) if whole else limit
 
+    def balanced(self, capacity: int, shards: int) -> list[int]:
+        """Cuts within the capacity that are as near to equal shares as what lies behind them allows."""
+        earliest = [self.total]  # of each cut, from the last one: behind it must be room for the rest
+        for _ in range(shards - 1):
+            earliest.append(self.ends[bisect.bisect_left(self.ends, earliest[-1] - capacity)] if earliest[-1] > capacity else 0)
+        at, out = 0, []
+        for i, least in enumerate(reversed(earliest), 1):
+            share = -(-self.total * i // shards)
+            at = min(self.reach(at + capacity), max(least, self.reach(share)))
+            out.append(at)
+        return out
+
     def cuts(self, capacity: int, shards: int, step) -> list[int]:
         at, out = 0, []
         for _ in range(shards):
@@ -110,15 +122,17 @@ def minimax_cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> tuple[in
         low = max(low, -(-known.total // shards) - 1)
         high = _smallest(low, high or known.total, lambda c: known.cuts(c, shards, known.reach)[-1] == known.total)
         low = _smallest(low, high, lambda c: known.cuts(c, shards, known.hope)[-1] == known.total) - 1
-        # where the cuts of any capacity in (low, high] can lie
-        spans = zip(known.cuts(low + 1, shards, known.reach), known.cuts(high, shards, known.hope))
+        if high - low > 1:  # where the cuts of any capacity in (low, high] can lie
+            spans = zip(known.cuts(low + 1, shards, known.reach), known.cuts(high, shards, known.hope))
+        else:  # where a cut can lie, so that what is behind it still fits
+            latest = known.cuts(high, shards, known.hope)
+            spans = [(known.total - (shards - i) * high, end) for i, end in enumerate(latest, 1)]
         unclear: set[int] = set()
-        if high - low > 1:
-            for a, b in spans:
-                i, j = bisect.bisect_right(known.ends, a), bisect.bisect_right(known.ends, b)
-                unclear.update(
-                    k for k in range(max(0, i - 1), min(j + 1, len(known.runs))) if known.runs[k][2] > 1 and known.runs[k][1] > 0
-                )
+        for a, b in spans:
+            i, j = bisect.bisect_right(known.ends, max(0, a)), bisect.bisect_right(known.ends, b)
+            unclear.update(
+                k for k in range(max(0, i - 1), min(j + 1, len(known.runs))) if known.runs[k][2] > 1 and known.runs[k][1] > 0
+            )
         if not unclear:
             break
         # the coarsest of them first, so that the runs of one round have the same width
@@ -128,7 +142,7 @@ def minimax_cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> tuple[in
         gone = set(chosen)
         runs = [r for r in known.runs if r not in gone] + _split(groups, chosen, max(0, open_bits - finer))
     behind = []
-    for end in known.cuts(high, shards, known.reach)[:-1]:
+    for end in known.balanced(high, shards)[:-1]:
         i = bisect.bisect_right(known.ends, end)
         behind.append(known.runs[i][0] if i < len(known.runs) else 1 << KEY_BITS)
     return high, behind
