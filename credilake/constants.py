@@ -163,3 +163,7 @@ LOAN_DEFAULTS = {
     "total_deudas": 10000.0,
     "mora_diaria": 0.0,
 }
+
+# Title and labels of an evaluation report.
+REPORT_TITLE = "Informe de Evaluación Crediticia"
+REPORT_KPIS = ["Score Financiero", "Clasificación", "Predicción IA", "Confianza", "Riesgo", "Decisión Final"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credilake.constants import ACTIONS, MAX_SCORE, OBSERVATIONS, REASONS, RISK_LEVELS, RISK_TOP
+from credilake.constants import ACTIONS, MAX_SCORE, OBSERVATIONS, REASONS, RISK_LEVELS, RISK_TOP, REPORT_KPIS, REPORT_TITLE
 from credilake.functions.arithmetic import num
 from credilake.functions.scoring import breakdown
 
@@ -154,11 +154,19 @@ def _kpi(label: str, value: Column, maximum: int | None = None) -> Column:
 
 def evaluation_report(df: DataFrame, generated_at: Column) -> DataFrame:
     """One nested report row per client from a recommended frame: the sections without any picture."""
+    values = [
+        F.col("total_score"),
+        F.upper("classification"),
+        F.col("prediction_label"),
+        F.format_string("%.1f%%", F.col("confidence")),
+        F.col("risk_level"),
+        F.col("final_decision"),
+    ]
     return df.select(
         "id_cliente",
         F.struct(
-            F.lit("Informe de Evaluación Crediticia").alias("title"),
-            F.lit("Sistema Experto de Predicción Financiera IA").alias("subtitle"),
+            F.lit(REPORT_TITLE).alias("title"),
+            F.lit("Resultado de la evaluación").alias("subtitle"),
             F.date_format(generated_at, "dd/MM/yyyy HH:mm").alias("date"),
             F.concat(F.lit("INF-"), F.date_format(generated_at, "yyyyMMddHHmmss")).alias("report_id"),
         ).alias("header"),
@@ -169,12 +177,7 @@ def evaluation_report(df: DataFrame, generated_at: Column) -> DataFrame:
             _money("monto_solicitado").alias("monto_solicitado"),
         ).alias("client_info"),
         F.array(
-            _kpi("Score Financiero", F.col("total_score"), MAX_SCORE),
-            _kpi("Clasificación", F.upper("classification")),
-            _kpi("Predicción IA", F.col("prediction_label")),
-            _kpi("Confianza", F.format_string("%.1f%%", F.col("confidence"))),
-            _kpi("Riesgo", F.col("risk_level")),
-            _kpi("Decisión Final", F.col("final_decision")),
+            *[_kpi(label, value, MAX_SCORE if i == 0 else None) for i, (label, value) in enumerate(zip(REPORT_KPIS, values))]
         ).alias("kpi_grid"),
         breakdown().alias("score_breakdown"),
         F.struct("prediction", "probability", "prediction_label", "confidence", "model_used").alias(

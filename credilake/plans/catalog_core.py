@@ -145,6 +145,12 @@ def _report(spark, sf_dir) -> DataFrame:
     return report.select(KEY, F.to_json(F.struct("*")).alias("report"))
 
 
+def _report_kpis(spark, sf_dir) -> DataFrame:
+    report = decisions.evaluation_report(decided(snapshot(spark, sf_dir)), F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    rows = report.select(KEY, F.col("header.report_id").alias("report_id"), F.posexplode("kpi_grid").alias("position", "kpi"))
+    return rows.select(KEY, "report_id", "position", "kpi.label", "kpi.value", "kpi.max")
+
+
 def _non_finite(spark, sf_dir) -> DataFrame:
     """Profiles with NaN and infinities put in by rule, then cleaned of them."""
     dirty = snapshot(spark, sf_dir).withColumn(
@@ -292,6 +298,7 @@ QUERIES = {
     "decision_reasons": _reasons,
     "decision_risk": lambda s, d: rounded(decided(snapshot(s, d)).select(KEY, "risk_score", "risk_level"), 6, "risk_score"),
     "evaluation_report": _report,
+    "evaluation_report_kpis": _report_kpis,
     "kpis": lambda s, d: portfolio.portfolio_kpis(snapshot(s, d)),
     "mean_profile_score": lambda s, d: portfolio.score_of_mean_profile(snapshot(s, d)),
     "score_distribution": lambda s, d: portfolio.score_distribution(snapshot(s, d)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from credilake.constants import REPORT_KPIS
+
 SOURCES = """
 ingresos AS (
   SELECT o_custkey AS id_cliente, CAST(date_trunc('month', o_orderdate) AS DATE) AS mes_referencia,
@@ -374,6 +376,22 @@ SELECT id_cliente, kind, text FROM (
         SCORED,
         DECIDED,
     ),
+    "evaluation_report_kpis": with_profile(
+        """
+SELECT id_cliente, 'INF-20240101000000' AS report_id, v.position, v.label,
+       CASE v.position WHEN 0 THEN CAST(total_score AS VARCHAR) WHEN 1 THEN upper(classification) WHEN 2 THEN etiqueta
+            WHEN 3 THEN printf('%.1f%%', ROUND(GREATEST(p, 1 - p) * 100, 2))
+            WHEN 4 THEN CASE WHEN riesgo < CAST(0.25 AS DOUBLE) THEN 'Bajo' WHEN riesgo < CAST(0.5 AS DOUBLE) THEN 'Moderado'
+                             WHEN riesgo < CAST(0.75 AS DOUBLE) THEN 'Alto' ELSE 'Crítico' END
+            ELSE a.action END AS value,
+       CASE v.position WHEN 0 THEN 1000 END AS max
+FROM decidido JOIN acciones a USING (core_rule)
+     CROSS JOIN (VALUES """
+        + ", ".join(f"({i}, '{label}')" for i, label in enumerate(REPORT_KPIS))
+        + ") AS v(position, label) WHERE a.pos = 0",
+        SCORED,
+        DECIDED,
+    ),
     "decision_risk": with_profile(
         """SELECT id_cliente, ROUND(riesgo, 6) AS risk_score, CASE WHEN riesgo < CAST(0.25 AS DOUBLE) THEN 'Bajo'
              WHEN riesgo < CAST(0.5 AS DOUBLE) THEN 'Moderado' WHEN riesgo < CAST(0.75 AS DOUBLE) THEN 'Alto'
