@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -93,31 +94,54 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def anchored(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """``h``, 128-bit hash ``c1, c2`` of the context, ``doc``, ``row``, ``pos`` of every anchor."""
+    """``h``, 128-bit hash ``c1, c2`` of the context, ``doc``, ``row``, ``pos`` of the anchors of every row.
+
+    Anchors of one row with equal contexts are one: ``n`` of them, with the spans of all their contexts put
+    together in ``own`` (null for a single one). Periodic texts, in which every period has an anchor, need few.
+    """
     reach = length - seed
-    schema = pa.schema([*_CLASS, *_KEY, ("pos", pa.int64())])
+    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    schema = pa.schema([*_CLASS, *_KEY, ("pos", pa.int64()), ("n", pa.int64()), ("own", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             for start, block in _blocks(batch):
-                which, pos, h = anchors(block, length, seed)
-                digests = b"".join(
-                    [
-                        xxh3_128_digest(block[w][max(0, p - reach) : p + length], seed=min(p, reach))
-                        for w, p in zip(which.tolist(), pos.tolist())
-                    ]
-                )
-                c = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                row = pa.array(start + which)
+                out: dict[tuple[int, bytes], list] = {}
+                for w, p, h in zip(*(x.tolist() for x in anchors(block, length, seed))):
+                    context = xxh3_128_digest(block[w][max(0, p - reach) : p + length], seed=min(p, reach))
+                    out.setdefault((w, context), [h, p]).append(p)
+                which = pa.array([start + w for w, _ in out], pa.int64())
+                c = np.frombuffer(b"".join([c for _, c in out]), np.int64).reshape(-1, 2)
+                own = []
+                for (w, _), (_, _, *at) in out.items():
+                    spans = merged([(max(0, p - reach), p + length) for p in at], len(block[w])) if len(at) > 1 else None
+                    own.append(spans and [{"a": x, "b": y} for x, y in spans])
                 yield pa.record_batch(
                     [
-                        pa.array(h.view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]),
-                        batch.column("doc").take(row), batch.column("row").take(row), pa.array(pos),
+                        pa.array(np.asarray([v[0] for v in out.values()], np.uint64).view(np.int64)),
+                        pa.array(c[:, 0]), pa.array(c[:, 1]),
+                        batch.column("doc").take(which), batch.column("row").take(which),
+                        pa.array([v[1] for v in out.values()], pa.int64()),
+                        pa.array([len(v) - 2 for v in out.values()], pa.int64()), pa.array(own, span),
                     ],
                     schema=schema,
                 )
 
-    return rows.mapInArrow(run, "h long, c1 long, c2 long, doc long, row long, pos long")
+    fields = "h long, c1 long, c2 long, doc long, row long, pos long, n long, own array<struct<a:long,b:long>>"
+    return rows.mapInArrow(run, fields)
+
+
+def seed_counts(rows: DataFrame, length: int, seed: int) -> DataFrame:
+    """``h`` and ``n``, how many anchors of a row have it, without their contexts."""
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            for _, block in _blocks(batch):
+                h, n = np.unique(anchors(block, length, seed)[2], return_counts=True)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+
+    return rows.mapInArrow(run, "h long, n long")
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -183,58 +207,92 @@ def _extents(group: list[tuple[bytes, bytes]], length: int) -> list[tuple[int, i
     return out
 
 
-def _small_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """Extents of the classes of groups that fit into a task: a suffix array and its tree per group."""
-    schema = pa.schema([*_CLASS, ("back", pa.int64()), ("ahead", pa.int64())])
+_SOLVED = "h long, c1 long, c2 long, back long, ahead long, context binary, left int"
+
+
+def _groups(contexts: DataFrame, length: int) -> DataFrame:
+    """Extents of the classes of groups that fit into a task: a suffix array and its tree per group. The contexts
+    of larger groups pass unchanged, spread by their own hashes."""
+    schema = pa.schema([*_CLASS, ("back", pa.int64()), ("ahead", pa.int64()), ("context", pa.binary()), ("left", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(rows: list[tuple]) -> Iterator[tuple]:
             if len(rows) > 1:
                 found = _extents([(r[3][: r[4]][::-1], r[3][r[4] :]) for r in rows], length)
-                yield from ((*r[:3], *x) for r, x in zip(rows, found) if x[1])
+                yield from ((*r[:3], *x, None, None) for r, x in zip(rows, found) if x[1])
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         group: list[tuple] = []
-        ready: list[tuple] = []
-        for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("h", "c1", "c2", "context", "left")]
-            for row in zip(*columns):
+        for batch in sliced(batches, 1024):
+            ready: list[tuple] = []
+            columns = [batch.column(n).to_pylist() for n in ("h", "c1", "c2", "context", "left", "large")]
+            for *row, large in zip(*columns):
+                if large:
+                    ready.append((*row[:3], None, None, *row[3:]))
+                    continue
                 if group and row[0] != group[0][0]:
                     ready += solved(group)
                     group = []
                 group.append(row)
             if ready:
                 yield out(ready)
-                ready = []
-        ready += solved(group)
+        ready = list(solved(group))
         if ready:
             yield out(ready)
 
-    small = contexts.where(F.col("k") <= GROUP_CONTEXTS).select("h", "c1", "c2", "context", "left")
-    dealt = small.repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "h long, c1 long, c2 long, back long, ahead long")
+    large = F.col("k") > GROUP_CONTEXTS
+    dealt = contexts.withColumns({"large": large, "spread": F.when(large, F.col("c1"))})
+    dealt = dealt.repartition("h", "spread").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, _SOLVED)
+
+
+def _bands(contexts: DataFrame, length: int, seed: int) -> DataFrame:
+    """For each band of windows that begin ``back`` to ``back`` + BAND - 1 bytes before the anchor: hash ``k1, k2``
+    of the bytes that all of them share, and ``o1, o2`` of all bytes that they cover (null where the context or
+    the reach ends within the band)."""
+    schema = pa.schema([*_CLASS, *((n, pa.int64()) for n in ("k1", "k2", "o1", "o2")), ("back", pa.int32())])
+    reach = length - seed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            inner, outer, whole, which, backs = [], [], [], [], []
+            for i, (context, left) in enumerate(zip(batch.column("context").to_pylist(), batch.column("left").to_pylist())):
+                for back in range(0, min(left, reach) + 1, BAND):
+                    start, stop = left - back, left - back + length
+                    if stop - BAND + 1 > len(context):
+                        continue
+                    inner.append(xxh3_128_digest(context[start : stop - BAND + 1], seed=back))
+                    whole.append(back + BAND - 1 <= min(left, reach) and stop <= len(context))
+                    outer.append(xxh3_128_digest(context[start - BAND + 1 : stop], seed=back) if whole[-1] else bytes(16))
+                    which.append(i)
+                    backs.append(back)
+            k, o = (np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in (inner, outer))
+            row, none = pa.array(which, pa.int64()), ~np.asarray(whole, bool)
+            yield pa.record_batch(
+                [
+                    *(batch.column(n).take(row) for n in ("h", "c1", "c2")), pa.array(k[:, 0]), pa.array(k[:, 1]),
+                    pa.array(o[:, 0], mask=none), pa.array(o[:, 1], mask=none), pa.array(backs, pa.int32()),
+                ],
+                schema=schema,
+            )
+
+    return contexts.mapInArrow(run, "h long, c1 long, c2 long, k1 long, k2 long, o1 long, o2 long, back int")
 
 
-def _pieces(contexts: DataFrame, length: int, seed: int, fine: bool) -> DataFrame:
-    """Hashes ``k1, k2`` of parts of each context: of the bytes that two contexts share if they share a window of
-    ``length`` bytes that begins ``back`` bytes before the anchor, for each band of ``back`` or, if fine, each
-    ``back`` within the row's ``band``."""
+def _windows(contexts: DataFrame, length: int, seed: int) -> DataFrame:
+    """Hash ``k1, k2`` of each window that begins within the ``band`` of a context."""
     schema = pa.schema([*_CLASS, ("k1", pa.int64()), ("k2", pa.int64()), ("back", pa.int32())])
     reach = length - seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            names = ["context", "left"] + ["band"] * fine
             digests, which, backs = [], [], []
-            for i, (context, left, *band) in enumerate(zip(*(batch.column(n).to_pylist() for n in names))):
-                first = band[0] if fine else 0
-                for back in range(first, min(left, reach, first + BAND - 1 if fine else reach) + 1, 1 if fine else BAND):
-                    size = length if fine else length - BAND + 1
-                    piece = context[left - back : left - back + size]
-                    if len(piece) == size:
-                        digests.append(xxh3_128_digest(piece, seed=back))
+            for i, (context, left, band) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("context", "left", "band")))):
+                for back in range(band, min(left, reach, band + BAND - 1) + 1):
+                    if left - back + length <= len(context):
+                        digests.append(xxh3_128_digest(context[left - back : left - back + length], seed=back))
                         which.append(i)
                         backs.append(back)
             k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
@@ -250,21 +308,35 @@ def _pieces(contexts: DataFrame, length: int, seed: int, fine: bool) -> DataFram
 def _large_groups(contexts: DataFrame, length: int, seed: int) -> DataFrame:
     """Extents of the classes of groups too large for a task, window by window.
 
-    Two contexts that share a window share, of the band in which it begins, all but the band's width. Bands that
-    nobody shares go first; of the others every single window is counted. Equal windows are the intervals of
-    depth ``length``. Nothing is gathered: all of it is grouped counts and joins on 128-bit hashes.
+    Two contexts that share a window share, of the band in which it begins, all but the band's width: bands of
+    which nobody shares that go. If they share the whole band, all its windows are shared. Only of the bands in
+    between single windows are counted: those at the ends of a passage. Equal windows are the intervals of depth
+    ``length``. Nothing is gathered: all of it is grouped counts and joins on 128-bit hashes.
     """
-    large = contexts.where(F.col("k") > GROUP_CONTEXTS)
 
-    def shared(pieces: DataFrame) -> DataFrame:
-        twice = pieces.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2")
-        return pieces.join(twice, ["k1", "k2"], "left_semi").select("h", "c1", "c2", "back")
+    def extent(back, ahead) -> list:
+        return ["h", "c1", "c2", back.cast("long").alias("back"), ahead.cast("long").alias("ahead")]
+
+    def twice(pieces: DataFrame, *key: str) -> DataFrame:
+        return pieces.groupBy(*key).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(*key)
 
-    bands = shared(_pieces(large, length, seed, False)).withColumnRenamed("back", "band")
-    windows = shared(_pieces(large.join(bands, ["h", "c1", "c2"]), length, seed, True))
-    return windows.select(
-        "h", "c1", "c2", F.col("back").cast("long").alias("back"), (F.lit(length) - F.col("back")).cast("long").alias("ahead")
+    pieces = _bands(contexts, length, seed)
+    bands = materialize(
+        pieces.join(twice(pieces, "k1", "k2"), ["k1", "k2"], "left_semi").select("h", "c1", "c2", "o1", "o2", "back"), "bands"
     )
+    whole = (
+        bands.where("o1 IS NOT NULL")
+        .groupBy("o1", "o2")
+        .agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("h", "c1", "c2", F.col("back").alias("band"))).alias("one"))
+        .where("times > 1")
+    )
+    told = bands.join(whole.select("o1", "o2", F.lit(True).alias("whole")), ["o1", "o2"], "left")
+    full = told.where("whole").select(*extent(F.col("back") + BAND - 1, length - F.col("back")))
+    # one of those that share a whole band stands for them, since others may share some of its windows
+    unclear = told.where("whole IS NULL").select("h", "c1", "c2", F.col("back").alias("band")).unionByName(whole.select("one.*"))
+    windows = _windows(contexts.join(unclear, ["h", "c1", "c2"]), length, seed)
+    single = windows.join(twice(windows, "k1", "k2"), ["k1", "k2"], "left_semi")
+    return full.unionByName(single.select(*extent(F.col("back"), length - F.col("back"))))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES) -> DataFrame:
@@ -278,26 +350,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES
     """
     reach = length - seed
     rows = source_rows(docs)
-    found = anchored(rows, length, seed)
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    shared = materialize(found.join(twice, "h", "left_semi"), "anchors")
+    twice = seed_counts(rows, length, seed).groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h")
+    shared = materialize(anchored(rows, length, seed).join(twice, "h", "left_semi"), "anchors")
     classes = materialize(
-        shared.groupBy("h", "c1", "c2").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "row", "pos")).alias("first")
-        ),
+        shared.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "row", "pos")).alias("first")),
         "contexts",
     )
     several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     schema = pa.schema([*_CLASS, ("k", pa.int64()), ("context", pa.binary()), ("left", pa.int32())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in sliced(batches, 64):
             out = []
-            for text, wanted in zip(texts(batch), batch.column("wanted").to_pylist()):
+            names = ("doc", "row", "wanted")
+            for text, doc, row, wanted in zip(unpacked(batch), *(batch.column(n).to_pylist() for n in names)):
+                if (doc, row) == last:  # a repeated row has the same contexts
+                    continue
+                last = doc, row
                 for w in wanted:
                     p = w["pos"]
                     out.append((w["h"], w["c1"], w["c2"], w["k"], text[max(0, p - reach) : p + length], min(p, reach)))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            if out:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     wanted = (
         classes.join(several, "h")
@@ -305,29 +380,52 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES
         .groupBy("doc", "row")
         .agg(F.collect_list(F.struct("pos", "h", "c1", "c2", "k")).alias("wanted"))
     )
-    # rows that are repeated as a whole have one key and fetch the same bytes: once is enough
-    contexts = materialize(
-        rows.join(wanted, ["doc", "row"])
+    contexts = (
+        packed(rows)
+        .join(wanted, ["doc", "row"])
+        .sortWithinPartitions("doc", "row")
         .mapInArrow(fetch, "h long, c1 long, c2 long, k long, context binary, left int")
-        .dropDuplicates(["h", "c1", "c2"]),
-        "suffixes",
+    )
+    solved = materialize(_groups(contexts, length), "extents")
+    names = ("h", "c1", "c2", "back", "ahead")
+    everywhere = classes.where("n > 1").select(
+        "h", "c1", "c2", F.lit(reach).cast("long").alias("back"), F.lit(length).cast("long").alias("ahead")
     )
     extents = (
-        _small_groups(contexts, length)
-        .unionByName(_large_groups(contexts, length, seed))
-        .unionByName(
-            classes.where("n > 1").select("h", "c1", "c2", F.lit(reach).cast("long").alias("back"), F.lit(length).cast("long").alias("ahead"))
-        )
+        solved.where("context IS NULL")
+        .select(*names)
+        .unionByName(_large_groups(solved.where("context IS NOT NULL").drop("back", "ahead"), length, seed))
+        .unionByName(everywhere)
         .groupBy("h", "c1", "c2")
         .agg(F.max("back").alias("back"), F.max("ahead").alias("ahead"))
     )
+    one = F.struct(F.greatest(F.lit(0), F.col("pos") - F.col("back")).alias("a"), (F.col("pos") + F.col("ahead")).alias("b"))
     return (
         shared.join(extents, ["h", "c1", "c2"])
+        .select("doc", "row", F.coalesce("own", F.array(one)).alias("spans"))
         .groupBy("doc", "row")
-        .agg(F.collect_set(F.struct(F.greatest(F.lit(0), F.col("pos") - F.col("back")).alias("a"), (F.col("pos") + F.col("ahead")).alias("b"))).alias("spans"))
+        .agg(F.flatten(F.collect_set("spans")).alias("spans"))
     )
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with their texts compressed, to be shuffled."""
+    schema = pa.schema([*_KEY, ("packed", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=3)
+        for batch in sliced(batches):
+            found = [codec.compress(t) for t in texts(batch)]
+            yield pa.record_batch([batch.column("doc"), batch.column("row"), pa.array(found, pa.binary())], schema=schema)
+
+    return rows.mapInArrow(run, "doc long, row long, packed binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
+    codec = zstandard.ZstdDecompressor()
+    return map(codec.decompress, batch.column("packed").to_pylist())
+
+
 def source_rows(docs: DataFrame) -> DataFrame:
     """``doc`` (id, null as the smallest) and ``row`` (hash of the text) tell rows apart; with ``text``."""
     return keyed(docs).select(
@@ -363,7 +461,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 256):
-            all_texts = texts(batch)
+            all_texts = list(unpacked(batch))
             cut, kept = [], []
             for text, found in zip(all_texts, batch.column("spans").to_pylist()):
                 gone = merged([(s["a"], s["b"]) for s in found or ()], len(text))
@@ -375,7 +473,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES
                 schema=schema,
             )
 
-    joined = rows.join(spans, ["doc", "row"], "left").select(
-        F.nullif("doc", F.lit(-(1 << 63))).alias("doc_id"), "text", "spans"
+    joined = (
+        packed(rows)
+        .join(spans, ["doc", "row"], "left")
+        .select(F.nullif("doc", F.lit(-(1 << 63))).alias("doc_id"), "packed", "spans")
     )
     return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<a:long,b:long>>, kept binary")
