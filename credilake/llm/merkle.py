@@ -17,9 +17,12 @@ from xxhash import xxh3_128_digest
 from credilake.llm.base import keyed, sliced
 from credilake.session import materialize
 
-#: A phrase ends behind punctuation, or after this many bytes.
-PHRASE_BYTES = 64
-_PHRASE = re.compile(rb"[^.,;:!?]{1,%d}[.,;:!?]*|[.,;:!?]+" % PHRASE_BYTES)
+#: A phrase ends behind punctuation, or after this many bytes; in a paragraph of fewer than ``SHORT_BYTES`` after
+#: few bytes already, so that likeness tells something for short texts, too.
+PHRASE_BYTES, SHORT_PHRASE_BYTES, SHORT_BYTES = 64, 6, 128
+_PHRASE, _SHORT_PHRASE = (
+    re.compile(rb"[^.,;:!?]{1,%d}[.,;:!?]*|[.,;:!?]+" % n) for n in (PHRASE_BYTES, SHORT_PHRASE_BYTES)
+)
 
 #: A section ends behind a paragraph whose hash ends in these bits all zero: on average every eighth.
 SECTION_MASK = 7
@@ -49,7 +52,8 @@ def tree(text: bytes) -> Node:
     section: list[Node] = []
     for line in text.split(b"\n"):
         # the line break counts as a byte of its paragraph, so that empty lines weigh something
-        phrases = [Node(xxh3_128_digest(p), len(p), ()) for p in _PHRASE.findall(line)]
+        cut = _PHRASE if len(line) >= SHORT_BYTES else _SHORT_PHRASE
+        phrases = [Node(xxh3_128_digest(p), len(p), ()) for p in cut.findall(line)]
         digest = xxh3_128_digest(b"p" + b"".join([p.digest for p in phrases]))
         section.append(Node(digest, len(line) + 1, phrases))
         if not digest[-1] & SECTION_MASK:
