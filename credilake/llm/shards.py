@@ -93,7 +93,7 @@ def _split(groups: DataFrame, runs: list[tuple[int, int, int, int]], bits: int)
     """The given runs in finer cells of ``bits`` open bits; at most ``CELLS`` come to the driver."""
     coarse = runs[0][1]
     spark = groups.sparkSession
-    wanted = spark.createDataFrame([(r[0] >> coarse,) for r in runs], "run long")
+    wanted = spark.createDataFrame([(r[0] >> coarse,) for r in runs], "run long")  # at most CELLS rows
     cell = F.shiftright("key", bits)
     found = (
         groups.withColumn("run", F.shiftright("key", coarse) if coarse < KEY_BITS else F.lit(0).cast("long"))
