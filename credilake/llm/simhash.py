@@ -153,10 +153,10 @@ class Links:
         return i, j
 
     def forest(self, members: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links that connect whatever is linked: every pair with one of the first ``members``, or a spanning forest.
+        """Links that connect whatever is linked to one of the first ``members``: a spanning forest.
 
-        Pairs are listed while they are few. Where they are many, the links are found by search from one
-        fingerprint to those not reached yet, so that a dense group costs little more than its size.
+        Pairs are listed while they are few, and thinned to a forest. Where they are many, the links are found by
+        search from one fingerprint to those not reached yet, so that a dense group costs little more than its size.
         """
         everyone = np.arange(len(self.fp))
         a, b = [everyone[:0]], [everyone[:0]]
@@ -170,7 +170,7 @@ class Links:
             found += int(keep.sum())
             if found > 8 * len(everyone) + 1000:
                 return self._search()
-        return np.concatenate(a), np.concatenate(b)
+        return _thinned(np.concatenate(a), np.concatenate(b))
 
     def _search(self) -> tuple[np.ndarray, np.ndarray]:
         rest = np.arange(len(self.fp))
@@ -189,6 +189,21 @@ class Links:
         return np.concatenate(a), np.concatenate(b)
 
 
+def _thinned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links without those whose ends are connected by earlier ones."""
+    parent: dict[int, int] = {}
+    keep = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        while (up := parent.setdefault(y, y)) != y:
+            parent[y] = y = parent[up]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(k)
+    return a[keep], b[keep]
+
+
 def close_pairs(
     nodes: DataFrame,
     distance: int = MAX_DISTANCE,
@@ -199,7 +214,7 @@ def close_pairs(
     """``src, dst``: links between rows of ``nodes`` (``node, fp, other``) at most ``distance`` bits apart in ``fp``
     and, if given, ``other_distance`` in ``other``. ``nodes`` is read several times and should be stored.
 
-    All links that connect, not all pairs: within a dense shard a spanning forest stands for its pairs.
+    All links that connect, not all pairs: within a shard a spanning forest stands for its pairs.
     Each part of the fingerprint has a vantage-point tree whose radii come from a bounded sample. A fingerprint is
     a member of one shard per part and visits those that it may reach over a border. Shards are cut into bounded
     chunks: members meet the chunks before their own as visitors, so a shard that holds a large group is spread
