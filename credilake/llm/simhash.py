@@ -298,7 +298,8 @@ def near_duplicates(
     unique: bool = False,
     confirm: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """``doc_id``, ``row``, ``fp`` and ``component_id`` (smallest id reachable over links) of every row.
+    """``doc_id``, ``row``, ``fp``, ``component_id`` (smallest id reachable over links) and ``component`` (a number
+    of the component that is never null) of every row.
 
     ``confirm`` (words, distance) asks that the fingerprints of other shingles are near as well. Only different
     fingerprints are compared, so groups of copies cost their distinct values. Null and wordless texts have
@@ -315,19 +316,21 @@ def near_duplicates(
     linked = connected_components(close_pairs(nodes, distance, parts, other_distance)).withColumnRenamed("id", "node")
     grouped = nodes.join(linked, "node", "left").select("fp", "other", "least", F.coalesce("component", "node").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = grouped.join(smallest, "component").select("fp", "other", "component_id")
-    return rows.join(labels, ["fp", "other"], "left").select("doc_id", "row", "fp", "component_id")
+    labels = grouped.join(smallest, "component").select("fp", "other", "component_id", "component")
+    return rows.join(labels, ["fp", "other"], "left").select("doc_id", "row", "fp", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component; of rows with that id one stays, by the
-    smallest hash of its text. Settings as in ``near_duplicates``. Rows that are equal in id and text are one."""
-    found = near_duplicates(docs, **settings).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("doc_id").agg(F.min("row").alias("row"))
+    """One row of ``docs`` per component: the one with the smallest id (null only if there is no other), and of
+    those the smallest hash of its text. Settings as in ``near_duplicates``. Rows that are equal in id and text
+    are one; rows with one id, or without ids, in different components all stay."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    keep = near_duplicates(docs, **settings).groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.row")
     left = docs.select(
         F.struct(*docs.columns).alias("d"),
         F.col("doc_id").cast("long").alias("id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"),
     )
     joined = left.join(keep, left["id"].eqNullSafe(keep["doc_id"]) & (left["hash"] == keep["row"]), "left_semi")
-    return joined.groupBy("id").agg(F.first("d").alias("d")).select(*[F.col(f"d.{c}").alias(c) for c in docs.columns])
+    one = joined.groupBy("id", "hash").agg(F.first("d").alias("d"))
+    return one.select(*[F.col(f"d.{c}").alias(c) for c in docs.columns])

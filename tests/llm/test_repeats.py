@@ -206,6 +206,15 @@ def test_one_of_each_near_copy_stays(spark):
     assert simhash.one_of_each(frame(spark, empty=True), **simhash.NEAR_COPIES).count() == 0
 
 
+def test_one_of_each_component_stays_without_ids_or_with_one_id(spark):
+    # six unrelated texts: three without id, two by one id, one alone; and a copy of one without id
+    unrelated = [" ".join(f"{w}{i * j % 97}" for j in range(1, 60)) for i, w in enumerate("abcdef", 1)]
+    found = [(None, unrelated[0]), (None, unrelated[1]), (None, unrelated[2]), (4, unrelated[3]), (4, unrelated[4])]
+    found += [(5, unrelated[5]), (None, unrelated[5]), (None, unrelated[0]), (4, unrelated[3]), (6, unrelated[3])]
+    kept = simhash.one_of_each(given_rows(spark, found), **simhash.NEAR_COPIES).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=sort_key) == sorted(found[:6], key=sort_key)
+
+
 def test_links_are_thinned_to_a_forest():
     a, b = simhash._thinned(np.asarray([3, 1, 2, 0, 5]), np.asarray([1, 2, 3, 3, 6]))
     assert list(zip(a.tolist(), b.tolist())) == [(3, 1), (1, 2), (0, 3), (5, 6)]
