@@ -16,7 +16,7 @@ from credilake.llm.base import sliced
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video select datalist".split())
+HIDDEN = frozenset("head script style template noscript iframe object canvas audio video select datalist".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "html body div section article aside header footer main nav address form li dt dd tr caption "
@@ -36,6 +36,24 @@ IMPLIED_END: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "tfoot": (frozenset(["thead", "tbody", "tfoot", "caption"]), frozenset(["table"])),
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
+#: Any other start tag, and any text, ends an open head.
+IN_HEAD = frozenset("base link meta title noscript noframes style script template".split())
+#: A start tag ends whatever else is open in the innermost of these: misplaced elements, a column group.
+ROW_GROUPS = frozenset("thead tbody tfoot".split())
+TABLE_CONTEXT = dict.fromkeys(ROW_GROUPS, frozenset(["table"])) | {"tr": ROW_GROUPS | {"table"}}
+#: Elements with rules of their own inside, those in them that hold HTML again, and the start tags that end them.
+FOREIGN = frozenset(["svg", "math"])
+NOT_FOREIGN = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: What a drawing or formula does not show, and what stands apart in it.
+UNDRAWN = frozenset(
+    "desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split()
+)
+APART = frozenset("text foreignobject mtr mtd".split())
+_FOREIGN = re.compile(r"<(?:svg|math)\b", re.IGNORECASE)
 #: An end tag or an implied end does not reach out of these.
 SCOPES = frozenset("table td th caption html template".split())
 
@@ -53,6 +71,7 @@ class Element:
     name: str
     hidden: bool = False
     start: int = 1
+    apart: bool = False
     children: list[Element | str] = field(default_factory=list)
 
 
@@ -92,8 +111,21 @@ def build(source: str) -> Element:
             if stack[i].name in bounds:
                 return
 
+    has_foreign = _FOREIGN.search(source) is not None
+
+    def foreign() -> int:
+        """Where the drawing or formula is open whose rules hold, or 0."""
+        for i in range(len(stack) - 1 if has_foreign else 0, 0, -1):
+            if stack[i].name in FOREIGN:
+                return i
+            if stack[i].name in NOT_FOREIGN:
+                break
+        return 0
+
     def text(value: str) -> None:
         if value:
+            if stack[-1].name == "head" and value.strip(" \t\n\r\f"):
+                stack.pop()
             stack[-1].children.append(html.unescape(value) if "&" in value else value)
 
     pos = 0
@@ -106,8 +138,15 @@ def build(source: str) -> Element:
         if m[1]:  # an end tag
             if name == "p" and not any(x.name == "p" for x in stack):
                 stack[-1].children.append(Element("p"))
-            close(frozenset([name]), frozenset() if name in SCOPES else SCOPES - {name})
+            bounds = SCOPES - {"td", "th", "caption"} if name in TABLE_CONTEXT else SCOPES
+            close(frozenset([name]), frozenset() if name in SCOPES else bounds)
             continue
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            stack.pop()
+        if name in BREAKOUT and (outer := foreign()):
+            del stack[outer:]
+        if name == "form" and (stack[-1].name in ("table", "tr") or stack[-1].name in ROW_GROUPS):
+            continue  # between rows or cells it holds nothing: they belong to the table
         if name in PARAGRAPHS or name in BLOCKS:
             close(frozenset(["p"]), SCOPES | {"button"})  # a block ends an open paragraph
         if name in IMPLIED_END:
@@ -117,12 +156,22 @@ def build(source: str) -> Element:
                     close(ended | ({"tr", "td", "th"} if name != "tr" else frozenset()), bounds)
             else:
                 close(ended, bounds)
+        if name in TABLE_CONTEXT:
+            context = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in TABLE_CONTEXT[name]), len(stack))
+            del stack[context + 1 :]
+        if name in ("td", "th") and stack[-1].name == "colgroup":
+            stack.pop()
         if name in ("td", "th") and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
             row = Element("tr")
             stack[-1].children.append(row)
             stack.append(row)
         made = _element(name, m[3])
         stack[-1].children.append(made)
+        inside = foreign() > 0
+        if inside:
+            made.hidden, made.apart = made.hidden or name in UNDRAWN, name in APART
+        if m[4] and (inside or name in FOREIGN):
+            continue  # only here does the slash end the element
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, pos)
             stop = end.start() if end else len(source)
@@ -178,18 +227,25 @@ def _rows(table: Element) -> Iterator[Element]:
         if isinstance(child, Element) and not child.hidden:
             if child.name == "tr":
                 yield child
-            elif child.name in ("thead", "tbody", "tfoot"):
+            elif child.name in ROW_GROUPS:
                 yield from _rows(child)
 
 
-def _table(table: Element, out: _Lines) -> None:
-    """Cells of a row in one line, the columns aligned; what stands outside of rows comes first."""
-    for child in table.children:
+def _outside_rows(group: Element, out: _Lines) -> None:
+    for child in group.children:
         if isinstance(child, str):
             out.add(child)
-        elif child.name not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
+        elif child.name in ROW_GROUPS or child.name == "colgroup":
+            if not child.hidden:
+                _outside_rows(child, out)
+        elif child.name not in ("tr", "col"):
             _render(child, out)
             out.end_line()
+
+
+def _table(table: Element, out: _Lines) -> None:
+    """Cells of a row in one line, the columns aligned; what stands outside of rows comes first."""
+    _outside_rows(table, out)
     out.end_line()
     grid = [
         [" ".join(x for x in lines_of(cell) if x) for cell in row.children if isinstance(cell, Element) and not cell.hidden]
@@ -231,6 +287,8 @@ def _render(node: Element, out: _Lines) -> None:
     if name == "br":
         out.end_line()
         return
+    if node.apart:
+        out.add(" ")
     if name in PARAGRAPHS:
         out.paragraph()
     elif name in BLOCKS:
@@ -247,7 +305,7 @@ def _render(node: Element, out: _Lines) -> None:
                 out.add(child)
             else:
                 _render(child, out)
-    if name in ("td", "th"):
+    if name in ("td", "th") or node.apart:
         out.add(" ")
     if name in PARAGRAPHS:
         out.paragraph()

@@ -116,6 +116,29 @@ def test_visible_text(source, text):
     assert visible_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<html><head><title>T</title><h1>A</h1><p>text", "A\n\ntext"),
+        ("<html><head><meta charset=x>\n<style>p{}</style>\nloose <b>text</b>", "loose text"),
+        ("<html><head><script>x</script></head><body>y", "y"),
+        ("<table><tbody><form><tr><td>x<td>y</form><tr><td>long<td>z</table>w", "x     y\nlong  z\n\nw"),
+        ("<table><tr><form><td>x<td>y</form></table>", "x  y"),
+        ("<table><tbody>loose<div>block</div><tr><td>x</tbody><tfoot><p>foot</table>", "loose\nblock\n\nfoot\n\nx"),
+        ("<table><tbody><div hidden>no<tr><td>x</table>", "x"),
+        ("<table><colgroup><col><tbody><tr><td>x</table>", "x"),
+        ("<table><tbody hidden>no<tr><td>no</tbody><tr><td>x</table>", "x"),
+        ("<div><svg width='1' />seen<math/> too</div>", "seen too"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds", "so x=2 holds"),
+        ("<svg><title>no</title><defs><text>no</text></defs><style/><text>a</text><text>b</text></svg>c", "a b c"),
+        ("<svg><defs><p>out", "out"),
+        ("<svg aria-hidden=true><text>no</text></svg>yes<div/>in", "yes\nin"),
+    ],
+)
+def test_visible_text_where_tags_are_implied(source, text):
+    assert visible_text(source) == text
+
+
 def test_extraction_of_odd_rows(spark):
     pages = spark.createDataFrame(
         [(1, "u", None, "x"), (None, None, "<p>a</p>", "x"), (2, "u", "", "x"), (2, "u", "", "x"), (3, "u", "<p>" + words(1, 20000), "x")],
