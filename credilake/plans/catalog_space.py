@@ -98,7 +98,7 @@ def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def _unseen(spark, sf_dir) -> DataFrame:
     known, new = _halves(spark, sf_dir)
-    _, forest = anomaly.isolation_forest(known, 0.1, trees=50)
+    _, forest = anomaly.isolation_forest(known, 0.1)
     return anomaly.score_anomaly(new, forest).select("id", "score", "label")
 
 
@@ -115,10 +115,8 @@ def _density_assignment(spark, sf_dir) -> DataFrame:
 
 
 def _full(spark, sf_dir) -> DataFrame:
-    """Rows per part of the whole analysis, at small settings."""
-    parts = full_analysis(
-        snapshot(spark, sf_dir), range(2, 4), restarts=1, trees=20, micro_clusters=30, silhouette_metric="squared"
-    )
+    """Rows per part of the whole analysis."""
+    parts = full_analysis(snapshot(spark, sf_dir))
     rows = None
     for name, df in parts.items():
         row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
@@ -128,23 +126,23 @@ def _full(spark, sf_dir) -> DataFrame:
 
 def _kmeans(spark, sf_dir) -> DataFrame:
     frame, _ = cluster_frame(snapshot(spark, sf_dir))
-    labelled = clustering.kmeans(frame, 4, restarts=3)
+    labelled = clustering.kmeans(frame, 4)
     return labelled.groupBy("cluster").agg(F.count("*").alias("size"))
 
 
 def _hierarchical(spark, sf_dir) -> DataFrame:
     frame, _ = cluster_frame(snapshot(spark, sf_dir))
-    return clustering.hierarchical(frame, 4, micro_clusters=60).groupBy("cluster").agg(F.count("*").alias("size"))
+    return clustering.hierarchical(frame, 4).groupBy("cluster").agg(F.count("*").alias("size"))
 
 
 def _auto_k(spark, sf_dir) -> DataFrame:
     frame, _ = cluster_frame(snapshot(spark, sf_dir))
-    return clustering.auto_select_k(frame, range(2, 5), restarts=1, silhouette_metric="squared")
+    return clustering.auto_select_k(frame)
 
 
 def _iforest(spark, sf_dir) -> DataFrame:
     frame, _ = cluster_frame(snapshot(spark, sf_dir))
-    flagged, _ = anomaly.isolation_forest(frame, 0.1, trees=50)
+    flagged, _ = anomaly.isolation_forest(frame, 0.1)
     return flagged.select(F.col("id").alias(KEY), "score", "is_anomaly")
 
 

@@ -46,14 +46,16 @@ def full_analysis(
     methods and PCA with the cluster labels attached. Each entry is a DataFrame."""
     frame, names = cluster_frame(df)
     results: dict[str, DataFrame] = {}
+    fitted: dict[int, list[list[float]]] = {}
     choice = materialize(
-        clustering.auto_select_k(frame, ks, restarts, silhouette_metric=silhouette_metric), "choice"
+        clustering.auto_select_k(frame, ks, restarts, silhouette_metric=silhouette_metric, fitted=fitted), "choice"
     )
+    four = fitted[4] if 4 in fitted else clustering.fit_kmeans(frame, 4, restarts)
     results["optimal_k"] = choice
     best = choice.where("optimal").select("k").first()["k"]
-    labels = {"kmeans": clustering.kmeans(frame, 4, restarts).select("id", "cluster")}
+    labels = {"kmeans": clustering.assign_cluster(frame, four).select("id", "cluster")}
     if 2 <= best <= 5:
-        results[f"kmeans_k{best}"] = summarise(df, clustering.kmeans(frame, best, restarts))
+        results[f"kmeans_k{best}"] = summarise(df, clustering.assign_cluster(frame, fitted[best]))
     labels["dbscan"] = materialize(clustering.dbscan(frame, eps, min_samples).select("id", "cluster"), "dbscan")
     labels["hierarchical"] = clustering.hierarchical(frame, 4, micro_clusters).select("id", "cluster")
     for name, labelled in labels.items():

@@ -267,3 +267,44 @@ def test_items_of_a_raw_profile(spark, profile):
     ]
     top = patterns.apriori(profile).collect()
     assert len(top) <= 10 and all(isinstance(r.antecedents, list) for r in top)
+
+
+@pytest.mark.parametrize(
+    "query, module, name",
+    [
+        ("auto_select_k", "clustering", "auto_select_k"),
+        ("kmeans", "clustering", "kmeans"),
+        ("hierarchical", "clustering", "hierarchical"),
+        ("full_analysis", "catalog_space", "full_analysis"),
+        ("iforest", "anomaly", "isolation_forest"),
+        ("iforest_unseen", "anomaly", "isolation_forest"),
+    ],
+)
+def test_queries_run_the_operators_at_their_settings(spark, monkeypatch, query, module, name):
+    from inspect import signature
+
+    from credilake.plans import catalog_space
+
+    owner = catalog_space if module == "catalog_space" else getattr(catalog_space, module)
+    operator = signature(getattr(owner, name))
+
+    class Called(Exception):
+        pass
+
+    def called(*args, **options):
+        raise Called(operator.bind(*args, **options).arguments)
+
+    monkeypatch.setattr(owner, name, called)
+    with pytest.raises(Called) as found:
+        catalog_space.QUERIES[query](spark, "/root/testdata/sf0.001")
+    for k, v in found.value.args[0].items():
+        assert operator.parameters[k].default in (operator.parameters[k].empty, v)
+
+
+def test_auto_select_k_hands_out_its_centres(spark):
+    rows = [(i, [float(i % 3) * 10 + i / 100, float(i % 2)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    fitted = {}
+    out = clustering.auto_select_k(df, range(2, 4), restarts=2, fitted=fitted)
+    assert [r["k"] for r in out.where("optimal").collect()] == [3]
+    assert {k: len(v) for k, v in fitted.items()} == {2: 2, 3: 3}
