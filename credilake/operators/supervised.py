@@ -282,8 +282,9 @@ def specs() -> dict[str, Any]:
 
 
 def cross_validate(spec: Any, df: DataFrame, folds: int = 5, seed: int = SEED) -> list[dict[str, float]]:
-    """The five measures per fold: one fit and one prediction set per fold serve them all."""
-    folded = materialize(stratified_folds(df, folds, seed), "folds")
+    """The five measures per fold: one fit and one prediction set per fold serve them all. A ``df`` with folds in
+    ``fold`` keeps them."""
+    folded = df if "fold" in df.columns else materialize(stratified_folds(df, folds, seed), "folds")
     rows = []
     for f in range(folds):
         model = spec.fit(folded.where(F.col("fold") != f).drop("fold"))

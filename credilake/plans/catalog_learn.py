@@ -244,18 +244,13 @@ def _power(spark, sf_dir) -> DataFrame:
 def _selected(spark, sf_dir) -> DataFrame:
     df = _training_frame(spark, sf_dir)
     names = clean.numeric_columns(df, exclude=(KEY, TARGET, "label"))
-    chosen = prep.select_features(df, names, trees=20, depth=5)
+    chosen = prep.select_features(df, names)
     return spark.createDataFrame(list(enumerate(chosen)), "position int, feature string")
 
 
-def _quick(*names: str) -> dict:
-    """The named models with few trees and rounds, as far as a query has the time."""
-    return {n: small_specs()[n] for n in names}
-
-
 def small_specs(rounds: int = 15, depth: int = 4, hidden: tuple[int, ...] = (8, 4)) -> dict:
-    """The ten models with smaller settings of the caller's choice; what the library calls its settings is
-    ``supervised.specs()``."""
+    """The ten models with smaller settings of the caller's choice, for tests; no query uses them. What the library
+    calls its settings is ``supervised.specs()``."""
     out = supervised.specs()
     for name, spec in out.items():
         if isinstance(spec, supervised.AdaBoostSpec):
@@ -274,53 +269,45 @@ _TRAINED: dict[tuple[str, str], training.TrainingResult] = {}
 
 
 def _trained(spark, sf_dir) -> training.TrainingResult:
-    """A small training shared by the queries that look at one: few trees and rounds, two folds."""
+    """The training shared by the queries that look at one: ten models with their grids, five folds, stacked."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
-        _TRAINED[key] = training.train_all(
-            snapshot(spark, sf_dir),
-            specs=_quick("Random Forest", "Logistic Regression", "Decision Tree (ID3)"),
-            tune=False,
-            cv_folds=2,
-            stack_folds=2,
-            select_trees=20,
-        )
+        _TRAINED[key] = training.train_all(snapshot(spark, sf_dir))
     return _TRAINED[key]
 
 
 def _boosted(spark, sf_dir) -> DataFrame:
-    train, test, _ = training.prepare(snapshot(spark, sf_dir), select_trees=20)
-    model = supervised.AdaBoostSpec(rounds=8).fit(train)
+    train, test, _ = training.prepare(snapshot(spark, sf_dir))
+    model = supervised.specs()["AdaBoost"].fit(train)
     return model.transform(test).select(F.col("client").alias(KEY), "label", "p", "predicted")
 
 
 def _gbt(spark, sf_dir) -> DataFrame:
-    train, test, _ = training.prepare(snapshot(spark, sf_dir), select_trees=20)
+    train, test, _ = training.prepare(snapshot(spark, sf_dir))
     names = ("XGBoost", "LightGBM", "CatBoost", "Gradient Boosting", "Neural Network")
     rows = []
-    for name, spec in _quick(*names).items():
-        scored = spec.fit(train).transform(test).select("label", "p", "predicted")
+    specs = supervised.specs()
+    for name in names:
+        scored = specs[name].fit(train).transform(test).select("label", "p", "predicted")
         rows.append((name, *[metrics.evaluate(materialize(scored, "held"))[m] for m in metrics.METRICS]))
     return spark.createDataFrame(rows, "model string, " + ", ".join(f"{m} double" for m in metrics.METRICS))
 
 
 def _tuned(spark, sf_dir) -> DataFrame:
-    train, _, _ = training.prepare(snapshot(spark, sf_dir), select_trees=20)
-    forest = _quick("Random Forest")["Random Forest"]
-    forest.grid = {"numTrees": [5, 10], "maxDepth": [2, 4]}
-    chosen = forest.tune(train, folds=2).estimator
+    train, _, _ = training.prepare(snapshot(spark, sf_dir))
+    chosen = supervised.specs()["Random Forest"].tune(train).estimator
     return spark.createDataFrame([(chosen.getNumTrees(), chosen.getMaxDepth())], "num_trees int, max_depth int")
 
 
 def _knn_model(spark, sf_dir) -> DataFrame:
-    train, test, _ = training.prepare(snapshot(spark, sf_dir), select_trees=20)
+    train, test, _ = training.prepare(snapshot(spark, sf_dir))
     return supervised.KnnSpec(5).fit(train).transform(test).select(F.col("client").alias(KEY), "label", "p", "predicted")
 
 
 def _shap(spark, sf_dir) -> DataFrame:
     result = _trained(spark, sf_dir)
     model = result.models["Random Forest"]
-    return explain.shap_summary(explain.shapley_values(model, result.train, result.preprocessor.names, permutations=4))
+    return explain.shap_summary(explain.shapley_values(model, result.train, result.preprocessor.names))
 
 
 def _stacked(spark, sf_dir) -> DataFrame:
@@ -335,8 +322,10 @@ def _batch(spark, sf_dir) -> DataFrame:
 
 
 def _batch_rejects(spark, sf_dir) -> DataFrame:
-    """What becomes of each of the applications, some of which break rules: predicted, or the error."""
-    result = _trained(spark, sf_dir)
+    """What becomes of each of the applications, some of which break rules: predicted, or the error. Which model
+    predicts is no part of the answer, so one is enough."""
+    specs = {"Logistic Regression": supervised.specs()["Logistic Regression"]}
+    result = training.train_all(snapshot(spark, sf_dir), specs=specs, cv_folds=0, stacking=False)
     rows = training.predict_records(_applications(spark, sf_dir), result.preprocessor, result.best_model, result.best)
     return rows.select(KEY, F.col("prediction").isNotNull().alias("predicted"), "error")
 
@@ -351,15 +340,7 @@ def _stored_model(spark, sf_dir) -> DataFrame:
 
 
 def _retrained(spark, sf_dir) -> DataFrame:
-    _, result = training.retrain_with_feedback(
-        snapshot(spark, sf_dir),
-        _live(spark, sf_dir),
-        specs=_quick("Logistic Regression"),
-        tune=False,
-        cv_folds=0,
-        stacking=False,
-        select_trees=20,
-    )
+    _, result = training.retrain_with_feedback(snapshot(spark, sf_dir), _live(spark, sf_dir))
     return result.metrics
 
 
@@ -372,9 +353,7 @@ def _targets(spark, sf_dir) -> DataFrame:
         (F.col("core_rule") == "reject").cast("int").alias("resultado_rechazado"),
         F.col("risk_level").isin("Moderado", "Alto").cast("int").alias("resultado_riesgo_medio"),
     )
-    results = training.train_targets(
-        materialize(df, "targets"), specs=_quick("Decision Tree (ID3)"), tune=False, cv_folds=0, stacking=False, select_trees=10
-    )
+    results = training.train_targets(materialize(df, "targets"))
     rows = None
     for target, result in results.items():
         row = result.metrics.withColumn("target", F.lit(target))

@@ -120,6 +120,9 @@ def train_all(
     specs = supervised.specs() if specs is None else specs
     models, predictions, folds, rows, fitted_specs = {}, {}, {}, [], {}
 
+    # one fold frame for all models
+    folded = materialize(prep.stratified_folds(train, cv_folds, seed), "folds") if cv_folds else None
+
     def record(name: str, spec: Any) -> None:
         model = spec.fit(train)
         predicted = materialize(model.transform(test).select(F.col("client").alias(KEY), "label", "p", "predicted"), "predictions")
@@ -133,7 +136,7 @@ def train_all(
             record(name, tuned)
             fitted_specs[name] = tuned
             if cv_folds:
-                folds[name] = supervised.cross_validate(tuned, train, cv_folds, seed)
+                folds[name] = supervised.cross_validate(tuned, folded, cv_folds, seed)
         except Exception as e:  # one bad model must not end the training
             models.pop(name, None)
             rows.append((name, *[None] * len(METRICS), str(e)[:500]))

@@ -348,3 +348,51 @@ def test_repeated_keys_keep_their_rows(spark, vectors):
 def test_labels_are_looked_up_without_a_shuffle(labelled):
     plan = prep.balanced_weights(labelled)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+class Called(Exception):
+    pass
+
+
+def _stop(*args, **options):
+    raise Called(options)
+
+
+@pytest.mark.parametrize(
+    "query, operator",
+    [
+        *[(q, "train_all") for q in ("models_metrics", "cross_validation", "stacking", "importance", "model_registry", "model_store", "predict_batch", "shap")],
+        ("train_targets", "train_targets"),
+        ("retrain", "retrain_with_feedback"),
+    ],
+)
+def test_queries_train_at_the_full_settings(spark, monkeypatch, query, operator):
+    from credilake.plans import catalog_learn
+
+    monkeypatch.setattr(catalog_learn, "_TRAINED", {})
+    monkeypatch.setattr(catalog_learn.training, operator, _stop)
+    with pytest.raises(Called) as found:
+        catalog_learn.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert found.value.args[0] == {}
+
+
+@pytest.mark.parametrize("query", ["adaboost", "boosted_models", "grid_search"])
+def test_queries_fit_models_at_the_full_settings(spark, monkeypatch, query):
+    from credilake.plans import catalog_learn
+
+    full = {str(s) for s in map(_settings, supervised.specs().values())}
+    prepared, used = [], []
+    monkeypatch.setattr(catalog_learn.training, "prepare", lambda df, **o: prepared.append(o) or (None, None, None))
+    stop = lambda spec, *args, **options: used.append((str(_settings(spec)), options)) or _stop()
+    monkeypatch.setattr(supervised.AdaBoostSpec, "fit", stop)
+    monkeypatch.setattr(supervised.MlSpec, "tune" if query == "grid_search" else "fit", stop)
+    with pytest.raises(Called):
+        catalog_learn.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert prepared == [{}] and used[0][0] in full and used[0][1] == {}
+
+
+def _settings(spec):
+    if not isinstance(spec, supervised.MlSpec):
+        return spec
+    known = sorted((p.name, v) for p, v in spec.estimator.extractParamMap().items())
+    return type(spec.estimator), known, spec.grid, spec.hidden, spec.inverse_penalty
