@@ -11,10 +11,10 @@ METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
 _SCORE_BUCKETS = 4096
 
 
-def confusion_matrix(df: DataFrame) -> DataFrame:
-    """TN, FP, FN and TP in one row."""
+def confusion_matrix(df: DataFrame, *by: str) -> DataFrame:
+    """TN, FP, FN and TP in one row, or one per group of ``by``."""
     y, p = F.col("label") == 1, F.col("predicted") == 1
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.count_if(~y & ~p).alias("true_negative"),
         F.count_if(~y & p).alias("false_positive"),
         F.count_if(y & ~p).alias("false_negative"),
@@ -22,14 +22,15 @@ def confusion_matrix(df: DataFrame) -> DataFrame:
     )
 
 
-def classification_metrics(df: DataFrame) -> DataFrame:
+def classification_metrics(df: DataFrame, *by: str) -> DataFrame:
     """Accuracy, precision, recall and F1; a ratio without a denominator is 0."""
 
     def ratio(top, bottom):
         return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), num(0))
 
     tn, fp, fn, tp = (F.col(c) for c in ("true_negative", "false_positive", "false_negative", "true_positive"))
-    return confusion_matrix(df).select(
+    return confusion_matrix(df, *by).select(
+        *by,
         ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"),
@@ -37,8 +38,8 @@ def classification_metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, score: str = "p") -> DataFrame:
-    """Area under the ROC curve with ties at half; NULL if only one class occurs.
+def roc_auc(df: DataFrame, score: str = "p", by: tuple[str, ...] = ()) -> DataFrame:
+    """Area under the ROC curve with ties at half, of the whole or per group of ``by``; NULL if only one class occurs.
 
     Rows collapse to one per distinct score first. Negatives below a score are those of lower score buckets,
     a running sum over at most a few thousand numbers, and those below it in its bucket, so there is no global
@@ -46,17 +47,17 @@ def roc_auc(df: DataFrame, score: str = "p") -> DataFrame:
     """
     y = F.col("label") == 1
     per_score = (
-        df.groupBy(F.col(score).cast("double").alias("s"))
+        df.groupBy(*by, F.col(score).cast("double").alias("s"))
         .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
         .withColumn("bucket", F.floor(F.col("s") * _SCORE_BUCKETS))
     )
-    below = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = per_score.groupBy("bucket").agg(F.sum("neg").alias("bucket_neg"))
-    offsets = buckets.select("bucket", F.coalesce(F.sum("bucket_neg").over(below), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_score.withColumn("inside", F.coalesce(F.sum("neg").over(within), F.lit(0))).join(offsets, "bucket")
+    below = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = per_score.groupBy(*by, "bucket").agg(F.sum("neg").alias("bucket_neg"))
+    offsets = buckets.select(*by, "bucket", F.coalesce(F.sum("bucket_neg").over(below), F.lit(0)).alias("offset"))
+    within = Window.partitionBy(*by, "bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per_score.withColumn("inside", F.coalesce(F.sum("neg").over(within), F.lit(0))).join(offsets, [*by, "bucket"])
     wins = F.col("pos") * (F.col("offset") + F.col("inside") + F.col("neg") / num(2))
-    return ranked.agg(
+    return ranked.groupBy(*by).agg(
         F.try_divide(F.sum(wins), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc")
     )
 
@@ -78,6 +79,11 @@ def evaluate(df: DataFrame) -> dict[str, float | None]:
     return {**row, "roc_auc": auc}
 
 
+def evaluate_groups(df: DataFrame, *by: str) -> DataFrame:
+    """The five measures per group, in one job for all groups."""
+    return classification_metrics(df, *by).join(roc_auc(df, by=by), [*by]).select(*by, *METRICS)
+
+
 def cv_summary(folds: DataFrame) -> DataFrame:
     """Mean and population deviation of the five measures per model over its folds."""
     return folds.groupBy("model").agg(

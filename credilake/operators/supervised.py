@@ -6,32 +6,25 @@ A prepared frame holds the key, ``label``, ``weight`` and ``vec`` (array of doub
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credilake.constants import KEY
 from credilake.functions.arithmetic import num
-from credilake.operators.metrics import METRICS, evaluate
+from credilake.operators.fits import SEED, FittedModel, FoldModels, NetworkSpec, StumpSpec, TreeSpec, fit_all
 from credilake.operators.neighbors import knn_join
 from credilake.operators.prep import balanced_weights, stratified_folds, with_row_ids
 from credilake.session import materialize
 
-SEED = 42
+#: Fits of library and neighbour models that run beside each other.
+FITS_AT_ONCE = 4
 
 
 def with_vector(df: DataFrame) -> DataFrame:
@@ -54,43 +47,18 @@ class MlModel:
 
 @dataclass
 class MlSpec:
-    """An ML library estimator, the grid it may be tuned over, and what depends on the training data."""
+    """An ML library estimator and what depends on the training data."""
 
     estimator: Estimator
-    grid: dict[str, list] = field(default_factory=dict)
     inverse_penalty: float | None = None
-    hidden: list[int] | None = None
 
     def fit(self, df: DataFrame) -> MlModel:
         estimator = self.estimator
         if self.inverse_penalty is not None:
             # the penalty of a summed loss, restated for the library's mean loss
             estimator = estimator.copy({estimator.regParam: 1.0 / (self.inverse_penalty * df.count())})
-        if self.hidden is not None:
-            width = df.select(F.size("vec").alias("d")).first()["d"]
-            estimator = estimator.copy({estimator.layers: [width, *self.hidden, 2]})
         return MlModel(estimator.fit(with_vector(df)))
 
-    def tune(self, df: DataFrame, folds: int = 3, parallelism: int = 4, seed: int = SEED) -> MlSpec:
-        """The spec at the grid point of the best cross-validated AUC."""
-        if not self.grid:
-            return self
-        builder = ParamGridBuilder()
-        for name, values in self.grid.items():
-            builder = builder.addGrid(getattr(self.estimator, name), values)
-        validator = CrossValidator(
-            estimator=self.estimator,
-            estimatorParamMaps=builder.build(),
-            evaluator=BinaryClassificationEvaluator(numBins=0),
-            numFolds=folds,
-            foldCol="fold",
-            parallelism=parallelism,
-        )
-        tuned = validator.fit(with_vector(stratified_folds(df, folds, seed)))
-        scores = tuned.avgMetrics
-        best = builder.build()[scores.index(max(scores))]
-        return MlSpec(self.estimator.copy(best), {}, self.inverse_penalty, self.hidden)
-
 
 def logistic(c: float = 0.5, max_iter: int = 5000) -> MlSpec:
     """Class-weighted L2 logistic regression with the penalty of ``1 / c`` on the summed loss."""
@@ -100,11 +68,6 @@ def logistic(c: float = 0.5, max_iter: int = 5000) -> MlSpec:
     return MlSpec(estimator, inverse_penalty=c)
 
 
-def perceptron(hidden: list[int], max_iter: int = 3000) -> MlSpec:
-    """Feed-forward network. The library's solver is L-BFGS with sigmoid layers, not Adam with ReLU."""
-    return MlSpec(MultilayerPerceptronClassifier(maxIter=max_iter, seed=SEED, layers=[1, *hidden, 2]), hidden=hidden)
-
-
 # --- boosting by reweighting -------------------------------------------------------------------------------
 
 
@@ -134,61 +97,6 @@ class AdaBoostModel:
         )
 
 
-@dataclass
-class AdaBoostSpec:
-    """SAMME boosting of depth-one trees, two classes."""
-
-    rounds: int = 300
-    learning_rate: float = 0.5
-    write_every: int = 10
-
-    def fit(self, df: DataFrame) -> AdaBoostModel:
-        rows = df.count()
-        data = materialize(df.select(KEY, "label", "vec").withColumn("weight", num(1.0 / rows)), "boost")
-        stumps = []
-        for r in range(1, self.rounds + 1):
-            stump = _stump(data)
-            if stump is None:
-                break
-            feature, threshold, below, above = stump
-            guess = F.when(F.col("vec")[feature] <= num(threshold), below).otherwise(above)
-            wrong = guess != F.col("label").cast("int")
-            sums = data.agg(F.sum("weight").alias("all"), F.sum(F.when(wrong, F.col("weight"))).alias("bad")).first()
-            error = (sums["bad"] or 0.0) / sums["all"]
-            if error <= 0:
-                stumps.append((1.0, *stump))
-                break
-            if error >= 0.5:
-                break
-            alpha = self.learning_rate * math.log((1 - error) / error)
-            stumps.append((alpha, *stump))
-            # dividing by the known new total keeps the weights summing to one
-            total = sums["all"] - sums["bad"] + sums["bad"] * math.exp(alpha)
-            data = data.withColumn(
-                "weight", F.when(wrong, F.col("weight") * num(math.exp(alpha))).otherwise(F.col("weight")) / num(total)
-            )
-            if r % self.write_every == 0:
-                data = materialize(data, "boost")
-        return AdaBoostModel(stumps)
-
-
-def _stump(data: DataFrame) -> tuple[int, float, int, int] | None:
-    """(feature, threshold, class below, class above) of the weighted depth-one tree, None if it does not split."""
-    tree = DecisionTreeClassifier(maxDepth=1, weightCol="weight", minWeightFractionPerNode=0.0, seed=SEED).fit(
-        with_vector(data)
-    )
-    root = tree._java_obj.rootNode()
-    if tree.depth == 0:
-        return None
-    split = root.split()
-    return (
-        int(split.featureIndex()),
-        float(split.threshold()),
-        int(root.leftChild().prediction()),
-        int(root.rightChild().prediction()),
-    )
-
-
 # --- nearest neighbours ------------------------------------------------------------------------------------
 
 
@@ -243,59 +151,82 @@ class KnnSpec:
 
 
 def specs() -> dict[str, Any]:
-    """The ten models at their fixed settings.
+    """The ten models at their fixed settings, all but two of them fitted many at a time, see ``fits``.
 
-    Splitting minima and penalties that the library does not know are left out.
+    Boosted presets stand for engines that are not there; penalties that histograms do not know are left out.
     """
-    rf = RandomForestClassifier(
-        numTrees=300, maxDepth=20, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=SEED
-    )
-    xgb = GBTClassifier(
-        maxIter=300, maxDepth=10, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-        minInstancesPerNode=3, seed=SEED,
-    )
-    lgbm = GBTClassifier(
-        maxIter=300, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-        minInstancesPerNode=20, weightCol="weight", seed=SEED,
-    )
-    boosted = {"maxIter": [200, 300], "maxDepth": [6, 8, 10], "stepSize": [0.03, 0.05, 0.1]}
-    shallow = {**boosted, "maxDepth": [4, 5, 6]}
+    xgb = TreeSpec("boost", 300, 10, 3, 0.8, step=0.05, subsample=0.8, weighted=False)
+    lgbm = TreeSpec("boost", 300, 5, 20, 0.8, step=0.05, subsample=0.8)
+    forest = TreeSpec("forest", 300, 20, 2, "sqrt")
+    forest.grid = {"trees": [200, 300, 400], "depth": [10, 15, 20, 30], "least": [1, 2, 5]}
+    xgb.grid = {"trees": [200, 300], "depth": [6, 8, 10], "step": [0.03, 0.05, 0.1]}
+    lgbm.grid = {**xgb.grid, "depth": [4, 5, 6]}
     return {
-        "Random Forest": MlSpec(rf, {"numTrees": [200, 300, 400], "maxDepth": [10, 15, 20, 30], "minInstancesPerNode": [1, 2, 5]}),
-        "XGBoost": MlSpec(xgb, boosted),
-        "LightGBM": MlSpec(lgbm, shallow),
-        "CatBoost": MlSpec(GBTClassifier(maxIter=300, maxDepth=8, stepSize=0.05, maxBins=128, seed=SEED)),
-        "Gradient Boosting": MlSpec(
-            GBTClassifier(maxIter=250, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=2, seed=SEED)
-        ),
+        "Random Forest": forest,
+        "XGBoost": xgb,
+        "LightGBM": lgbm,
+        "CatBoost": TreeSpec("boost", 300, 8, step=0.05, weighted=False, bins=128),
+        "Gradient Boosting": TreeSpec("boost", 250, 6, 2, step=0.05, subsample=0.8, weighted=False),
         "Logistic Regression": logistic(0.5, 5000),
-        "Neural Network": perceptron([256, 128, 64, 32], 3000),
+        "Neural Network": NetworkSpec([256, 128, 64, 32], 3000),
         "KNN": KnnSpec(5),
-        "Decision Tree (ID3)": MlSpec(
-            DecisionTreeClassifier(impurity="entropy", maxDepth=10, minInstancesPerNode=2, weightCol="weight", seed=SEED)
-        ),
-        "AdaBoost": AdaBoostSpec(300, 0.5),
+        "Decision Tree (ID3)": TreeSpec("tree", 1, 10, 2, impurity="entropy"),
+        "AdaBoost": StumpSpec(300, 0.5),
     }
 
 
 # --- cross-validation and stacking -------------------------------------------------------------------------
 
 
-def cross_validate(spec: Any, df: DataFrame, folds: int = 5, seed: int = SEED) -> list[dict[str, float]]:
-    """The five measures per fold: one fit and one prediction set per fold serve them all. A ``df`` with folds in
-    ``fold`` keeps them."""
-    folded = df if "fold" in df.columns else materialize(stratified_folds(df, folds, seed), "folds")
-    rows = []
-    for f in range(folds):
-        model = spec.fit(folded.where(F.col("fold") != f).drop("fold"))
-        held = model.transform(folded.where(F.col("fold") == f).drop("fold"))
-        rows.append({"fold": f, **evaluate(materialize(held.select("label", "predicted", "p"), "held"))})
-    return rows
+def fit_models(df: DataFrame, specs: dict[str, Any], folds: int = 0) -> dict[tuple[str, int | None], Any]:
+    """Models by (name, None), and by (name, fold) fitted without that fold; a failed fit is its error.
 
-
-def cv_frame(spark, rows: dict[str, list[dict[str, float]]]) -> DataFrame:
-    flat = [(m, r["fold"], *[r[c] for c in METRICS]) for m, rs in rows.items() for r in rs]
-    return spark.createDataFrame(flat, "model string, fold int, " + ", ".join(f"{c} double" for c in METRICS))
+    Fits in arrays are the tasks of one job; the others run beside each other.
+    """
+    arrays = {name: spec for name, spec in specs.items() if hasattr(spec, "fit_rows")}
+    found = fit_all(df, arrays, folds) if arrays else {}
+    jobs = [(name, f) for name in specs if name not in arrays for f in (None, *range(folds))]
+
+    def fit(job: tuple[str, int | None]) -> Any:
+        name, f = job
+        own = df if f is None else df.where(F.col("fold") != f)
+        try:
+            return specs[name].fit(own.drop("fold"))
+        except Exception as e:
+            return e
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return found | dict(zip(jobs, pool.map(fit, jobs)))
+
+
+def out_of_fold(df: DataFrame, name: str, models: dict[tuple[str, int | None], Any], folds: int) -> DataFrame:
+    """Key, label, ``fold``, ``p`` and ``predicted`` of every row, by the model that did not see its fold."""
+    own = [models[name, f] for f in range(folds)]
+    for model in own:
+        if isinstance(model, Exception):
+            raise model
+    columns = (KEY, "label", "fold", "p", "predicted")
+    if all(isinstance(m, FittedModel) for m in own):
+        return FoldModels([m.local for m in own]).transform(df).select(*columns)
+    parts = None
+    for f, model in enumerate(own):
+        held = model.transform(df.where(F.col("fold") == f).drop("fold")).withColumn("fold", F.lit(f)).select(*columns)
+        parts = held if parts is None else parts.unionByName(held)
+    return parts
+
+
+def voted(parts: dict[str, DataFrame]) -> DataFrame:
+    """Key, label and the probabilities of all models (``vec``, in order), from one shuffle."""
+    rows = None
+    for i, part in enumerate(parts.values()):
+        own = part.select(KEY, "label", F.lit(i).alias("i"), "p")
+        rows = own if rows is None else rows.unionByName(own)
+    columns = [F.max(F.when(F.col("i") == i, F.col("p"))) for i in range(len(parts))]
+    return rows.groupBy(KEY, "label").agg(F.array(*columns).alias("vec"))
+
+
+def meta_learner(votes: DataFrame) -> MlModel:
+    return logistic(1.0, 2000).fit(materialize(balanced_weights(votes), "stack-meta"))
 
 
 @dataclass
@@ -322,21 +253,18 @@ class StackedSpec:
 
     def out_of_fold(self, df: DataFrame, seed: int = SEED) -> DataFrame:
         """Key, label and one probability per base model, each by a model that did not see the row."""
+        return self._votes(df, seed)[0]
+
+    def _votes(self, df: DataFrame, seed: int = SEED) -> tuple[DataFrame, dict[str, Any]]:
         numbered = materialize(with_row_ids(df), "stack-rows")
         folded = materialize(stratified_folds(numbered, self.folds, seed), "stack-folds")
-        joined = folded.select(KEY, "label", "client")
-        for name, spec in self.specs.items():
-            parts = None
-            for f in range(self.folds):
-                model = spec.fit(folded.where(F.col("fold") != f).drop("fold"))
-                held = folded.where(F.col("fold") == f).drop("fold")
-                scored = model.transform(held).select(KEY, F.col("p").alias(f"p_{name}"))
-                parts = scored if parts is None else parts.unionByName(scored)
-            joined = joined.join(materialize(parts, "out-of-fold"), KEY)
-        return joined.withColumn(KEY, F.col("client")).drop("client")
+        models = fit_models(folded, self.specs, self.folds)
+        parts = {n: materialize(out_of_fold(folded, n, models, self.folds), "out-of-fold") for n in self.specs}
+        columns = [F.col("vec")[i].alias(f"p_{n}") for i, n in enumerate(self.specs)]
+        votes = voted(parts).join(folded.select(KEY, "client"), KEY).select(F.col("client").alias(KEY), "label", *columns)
+        return votes, {n: models[n, None] for n in self.specs}
 
     def fit(self, df: DataFrame) -> StackedModel:
-        votes = self.out_of_fold(df)
-        meta_frame = votes.select(KEY, "label", F.array(*[F.col(f"`p_{n}`") for n in self.specs]).alias("vec"))
-        meta = logistic(1.0, 2000).fit(materialize(balanced_weights(meta_frame), "stack-meta"))
-        return StackedModel({name: spec.fit(df) for name, spec in self.specs.items()}, meta)
+        votes, models = self._votes(df)
+        vectors = votes.select(KEY, "label", F.array(*[F.col(f"`p_{n}`") for n in self.specs]).alias("vec"))
+        return StackedModel(models, meta_learner(vectors))

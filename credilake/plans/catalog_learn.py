@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from credilake.constants import FEATURES, KEY, TARGET
 from credilake.functions import decisions, scoring
 from credilake.functions.arithmetic import num
-from credilake.operators import clean, explain, metrics, prep, regression, scaling, supervised
+from credilake.operators import clean, explain, fits, metrics, prep, regression, scaling, supervised
 from credilake.plans import training
 from credilake.plans.catalog_core import _applications, _work, decided, fixed_probability, loaded, rounded, snapshot
 from credilake.session import materialize
@@ -248,23 +248,6 @@ def _selected(spark, sf_dir) -> DataFrame:
     return spark.createDataFrame(list(enumerate(chosen)), "position int, feature string")
 
 
-def small_specs(rounds: int = 15, depth: int = 4, hidden: tuple[int, ...] = (8, 4)) -> dict:
-    """The ten models with smaller settings of the caller's choice, for tests; no query uses them. What the library
-    calls its settings is ``supervised.specs()``."""
-    out = supervised.specs()
-    for name, spec in out.items():
-        if isinstance(spec, supervised.AdaBoostSpec):
-            spec.rounds = rounds
-        elif isinstance(spec, supervised.MlSpec):
-            known = {"maxIter": rounds * (10 if spec.inverse_penalty or spec.hidden else 1), "numTrees": rounds}
-            depths = {"maxDepth": min(depth, spec.estimator.getMaxDepth())} if spec.estimator.hasParam("maxDepth") else {}
-            chosen = {k: v for k, v in (known | depths).items() if spec.estimator.hasParam(k)}
-            spec.estimator = spec.estimator.copy({getattr(spec.estimator, k): v for k, v in chosen.items()})
-            spec.grid = {}
-            spec.hidden = list(hidden) if spec.hidden else None
-    return out
-
-
 _TRAINED: dict[tuple[str, str], training.TrainingResult] = {}
 
 
@@ -283,20 +266,24 @@ def _boosted(spark, sf_dir) -> DataFrame:
 
 
 def _gbt(spark, sf_dir) -> DataFrame:
+    """Measures of the boosted presets and the network, all fitted at once."""
     train, test, _ = training.prepare(snapshot(spark, sf_dir))
+    full = supervised.specs()
     names = ("XGBoost", "LightGBM", "CatBoost", "Gradient Boosting", "Neural Network")
-    rows = []
-    specs = supervised.specs()
+    found = fits.fit_all(train, {n: full[n] for n in names})
+    rows = None
     for name in names:
-        scored = specs[name].fit(train).transform(test).select("label", "p", "predicted")
-        rows.append((name, *[metrics.evaluate(materialize(scored, "held"))[m] for m in metrics.METRICS]))
-    return spark.createDataFrame(rows, "model string, " + ", ".join(f"{m} double" for m in metrics.METRICS))
+        scored = found[name, None].transform(test).select("label", "p", "predicted", F.lit(name).alias("model"))
+        rows = scored if rows is None else rows.unionByName(scored)
+    return metrics.evaluate_groups(materialize(rows, "held"), "model")
 
 
 def _tuned(spark, sf_dir) -> DataFrame:
+    """Every point of the three grids with its mean AUC over three folds."""
     train, _, _ = training.prepare(snapshot(spark, sf_dir))
-    chosen = supervised.specs()["Random Forest"].tune(train).estimator
-    return spark.createDataFrame([(chosen.getNumTrees(), chosen.getMaxDepth())], "num_trees int, max_depth int")
+    full = {n: s for n, s in supervised.specs().items() if isinstance(s, fits.TreeSpec) and s.grid}
+    rows = [(name, p.trees, p.depth, p.least, p.step, score) for name, p, score in fits.grid_scores(train, full)]
+    return spark.createDataFrame(rows, "model string, trees int, depth int, min_instances int, step double, roc_auc double")
 
 
 def _knn_model(spark, sf_dir) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from credilake.constants import FEATURES, KEY, MULTI_TARGETS, TARGET
 from credilake.functions import decisions, features, scoring
 from credilake.functions.arithmetic import finite, num
-from credilake.operators import clean, explain, prep, supervised
-from credilake.operators.metrics import METRICS, best_model, evaluate
+from credilake.operators import clean, explain, fits, prep, supervised
+from credilake.operators.metrics import METRICS, best_model, evaluate_groups
 from credilake.operators.neighbors import vector_column
 from credilake.operators.scaling import RobustScale
 from credilake.operators.validate import REASONS, validate_applications
@@ -118,44 +118,60 @@ def train_all(
     spark = df.sparkSession
     train, test, preprocessor = prepare(df, target, seed, leaky, select_trees)
     specs = supervised.specs() if specs is None else specs
-    models, predictions, folds, rows, fitted_specs = {}, {}, {}, [], {}
-
-    # one fold frame for all models
-    folded = materialize(prep.stratified_folds(train, cv_folds, seed), "folds") if cv_folds else None
-
-    def record(name: str, spec: Any) -> None:
-        model = spec.fit(train)
-        predicted = materialize(model.transform(test).select(F.col("client").alias(KEY), "label", "p", "predicted"), "predictions")
-        measured = evaluate(predicted)
-        models[name], predictions[name] = model, predicted
-        rows.append((name, *[measured[m] for m in METRICS], None))
-
-    for name, spec in specs.items():
-        try:
-            tuned = spec.tune(train) if tune and isinstance(spec, supervised.MlSpec) else spec
-            record(name, tuned)
-            fitted_specs[name] = tuned
+    errors: dict[str, str] = {}
+    models, predictions, votes = {}, {}, {}
+    if tune:
+        specs = specs | fits.tune_all(train, {n: s for n, s in specs.items() if isinstance(s, fits.TreeSpec)}, seed=seed)
+    # one fold frame and one set of fold models serve validation and stacking
+    folded = materialize(prep.stratified_folds(train, cv_folds, seed), "folds") if cv_folds else train
+    fitted = supervised.fit_models(folded, specs, cv_folds)
+
+    def record(name: str, model: Any) -> None:
+        scored = model.transform(test).select(F.col("client").alias(KEY), "label", "p", "predicted")
+        predictions[name] = materialize(scored, "predictions")
+        models[name] = model
+
+    for name in specs:
+        try:  # one bad model must not end the training
+            if isinstance(fitted[name, None], Exception):
+                raise fitted[name, None]
+            record(name, fitted[name, None])
             if cv_folds:
-                folds[name] = supervised.cross_validate(tuned, folded, cv_folds, seed)
-        except Exception as e:  # one bad model must not end the training
+                votes[name] = materialize(supervised.out_of_fold(folded, name, fitted, cv_folds), "out-of-fold")
+        except Exception as e:
             models.pop(name, None)
-            rows.append((name, *[None] * len(METRICS), str(e)[:500]))
-    if stacking and fitted_specs:
+            predictions.pop(name, None)
+            errors[name] = str(e)[:500]
+    if stacking and models:
         try:
-            record(ENSEMBLE, supervised.StackedSpec(fitted_specs, stack_folds))
+            base = {n: specs[n] for n in models}
+            if stack_folds == cv_folds:
+                record(ENSEMBLE, supervised.StackedModel(dict(models), supervised.meta_learner(supervised.voted(votes))))
+            else:
+                record(ENSEMBLE, supervised.StackedSpec(base, stack_folds).fit(train))
         except Exception as e:
-            rows.append((ENSEMBLE, *[None] * len(METRICS), str(e)[:500]))
-    metrics = spark.createDataFrame(
-        rows, "model string, " + ", ".join(f"{m} double" for m in METRICS) + ", error string"
-    )
+            errors[ENSEMBLE] = str(e)[:500]
+    names = "model string, " + ", ".join(f"{m} double" for m in METRICS) + ", error string"
+    failed = [(name, *[None] * len(METRICS), error) for name, error in errors.items()]
+    measured = [tuple(r) + (None,) for r in evaluate_groups(_named(predictions), "model").collect()] if predictions else []
+    metrics = spark.createDataFrame(measured + failed, names)
     best = best_model(metrics).first()
     importance = explain.importance_table(spark, models, preprocessor.names) if models else None
-    cv = supervised.cv_frame(spark, folds) if folds else None
+    cv = materialize(evaluate_groups(_named(votes), "model", "fold"), "validation") if votes else None
     return TrainingResult(
         metrics, models, predictions, cv, best["model"] if best else None, preprocessor, importance, train
     )
 
 
+def _named(frames: dict[str, DataFrame]) -> DataFrame:
+    """All frames below each other, with ``model``."""
+    out = None
+    for name, frame in frames.items():
+        own = frame.withColumn("model", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def train_targets(df: DataFrame, **options: Any) -> dict[str, TrainingResult]:
     """One full training per ``resultado_*`` target."""
     return {t: train_all(df, t, **options) for t in MULTI_TARGETS if t in df.columns}

@@ -9,12 +9,24 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from credilake.constants import FEATURES, KEY, TARGET
-from credilake.operators import explain, metrics, prep, regression, supervised
+from credilake.operators import explain, fits, metrics, network, prep, regression, supervised, trees
 from credilake.plans import training
-from credilake.plans.catalog_learn import small_specs
 from credilake.sources.models import describe_model, load_model, model_registry, save_model
 
 
+def small_specs(rounds: int = 15, depth: int = 4) -> dict:
+    """The ten models with settings that tests can afford."""
+    out = supervised.specs()
+    for spec in out.values():
+        if isinstance(spec, fits.TreeSpec):
+            spec.trees, spec.depth, spec.grid = min(spec.trees, rounds), min(spec.depth, depth), {}
+        elif isinstance(spec, fits.NetworkSpec):
+            spec.hidden, spec.epochs = [8, 4], rounds
+        elif isinstance(spec, fits.StumpSpec):
+            spec.rounds = rounds
+    return out
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(0)
@@ -34,7 +46,7 @@ def vectors(labelled):
 def trained(profile):
     quick = small_specs(9)
     specs = {n: quick[n] for n in ("Random Forest", "Logistic Regression", "KNN")}
-    specs["AdaBoost"] = supervised.AdaBoostSpec(rounds=3)
+    specs["AdaBoost"] = fits.StumpSpec(rounds=3)
     return training.train_all(profile, specs=specs, tune=False, cv_folds=2, stack_folds=2, select_trees=10)
 
 
@@ -151,7 +163,7 @@ def test_logistic_against_newton(vectors):
 
 
 def test_adaboost_follows_samme(vectors):
-    model = supervised.AdaBoostSpec(rounds=5, learning_rate=0.5, write_every=2).fit(vectors)
+    model = fits.StumpSpec(rounds=5, learning_rate=0.5).fit(vectors)
     rows = vectors.collect()
     x, y = np.array([r.vec for r in rows]), np.array([r.label for r in rows])
     w = np.full(len(y), 1 / len(y))
@@ -204,8 +216,8 @@ def test_every_preset_fits(vectors):
 
 def test_full_settings_are_the_fixed_ones():
     full = supervised.specs()
-    rf = full["Random Forest"].estimator
-    assert (rf.getNumTrees(), rf.getMaxDepth(), rf.getMinInstancesPerNode()) == (300, 20, 2)
+    rf = full["Random Forest"]
+    assert (rf.trees, rf.depth, rf.least, rf.features) == (300, 20, 2, "sqrt")
     assert full["AdaBoost"].rounds == 300 and full["KNN"].k == 5
     assert full["Neural Network"].hidden == [256, 128, 64, 32]
     assert math.prod(len(v) for v in full["Random Forest"].grid.values()) == 36
@@ -261,17 +273,168 @@ def test_failing_model_is_reported(profile):
 
 
 def test_network_architecture(vectors):
-    model = supervised.perceptron([5, 4], 5).fit(vectors)
+    model = fits.NetworkSpec([5, 4], 5).fit(vectors)
     info = describe_model(model)
-    assert [layer["width"] for layer in info["layers"]] == [3, 5, 4, 2]
-    assert [layer["parameters"] for layer in info["layers"]] == [0, 3 * 5 + 5, 5 * 4 + 4, 4 * 2 + 2]
-    assert [layer["kind"] for layer in info["layers"]] == ["input", "sigmoid", "sigmoid", "softmax"]
-
-
-def test_grid_search_picks_from_the_grid(vectors):
-    spec = small_specs(6)["Random Forest"]
-    spec.grid = {"maxDepth": [1, 3]}
-    assert spec.tune(vectors, folds=2).estimator.getMaxDepth() in (1, 3)
+    assert [layer["width"] for layer in info["layers"]] == [3, 5, 4, 1]
+    assert [layer["parameters"] for layer in info["layers"]] == [0, 3 * 5 + 5, 5 * 4 + 4, 4 * 1 + 1]
+    assert [layer["kind"] for layer in info["layers"]] == ["input", "relu", "relu", "logistic"]
+
+
+def test_network_gradients_are_slopes():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(20, 3)), (rng.random(20) > 0.5).astype(float)
+    net = network.Network([rng.normal(size=(3, 4)), rng.normal(size=(4, 1))], [rng.normal(size=4), rng.normal(size=1)])
+
+    def loss():
+        p = net.score(x)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + network.DECAY / 2 / len(x) * sum((w**2).sum() for w in net.weights)
+
+    for values, slopes in zip(net.weights + net.biases, network.gradients(net, x, y)):
+        for i in np.ndindex(values.shape):
+            before = values[i]
+            values[i] = before + 1e-6
+            up = loss()
+            values[i] = before - 1e-6
+            down = loss()
+            values[i] = before
+            assert slopes[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_network_learns_what_a_line_cannot():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    net = network.fit(x[:1500], y[:1500], [32, 16], 200, 1)
+    assert fits.auc(y[1500:], net.score(x[1500:])) > 0.95
+
+
+def _best_split(codes, y, w, impurity, least):
+    """(gain, feature, cut) by trying every split."""
+
+    def worth(rows):
+        total, ones = w[rows].sum(), (w * y)[rows].sum()
+        if not total:
+            return 0.0
+        if impurity == "entropy":
+            return total * sum(q * math.log2(q) for q in (ones / total, 1 - ones / total) if q > 0)
+        return ones * ones / total
+
+    everything, best = np.ones(len(y), bool), (-1.0, 0, 0)
+    for f in range(codes.shape[1]):
+        for c in range(codes[:, f].max()):
+            low = codes[:, f] <= c
+            if low.sum() >= least and (~low).sum() >= least:
+                gain = worth(low) + worth(~low) - worth(everything)
+                if gain > best[0] + 1e-9:
+                    best = gain, f, c
+    return best
+
+
+@pytest.mark.parametrize("impurity", ["variance", "entropy"])
+def test_splits_are_the_best_ones(impurity):
+    rng = np.random.default_rng(3)
+    for least in (1, 5):
+        x = rng.normal(size=(60, 4)).round(1)
+        y, w = (x[:, 1] + rng.normal(size=60) > 0).astype(float), rng.random(60) + 0.5
+        codes = trees.binned(x, trees.bin_edges(x))
+        tree = trees.grow(codes, y, w, np.ones(60), 3, least, impurity=impurity)
+        node = np.zeros(60, int)
+        for step in range(tree.depth):
+            for n in np.unique(node):
+                own = node == n
+                if tree.left[n] != n:
+                    gain, f, c = _best_split(codes[own], y[own], w[own], impurity, least)
+                    assert tree.gain[n] == pytest.approx(gain) and (tree.feature[n], tree.cut[n]) == (f, c)
+                assert tree.value[n] == pytest.approx(np.average(y[own], weights=w[own]))
+            node = tree.walk(codes, step + 1)
+
+
+def test_bins_keep_the_order():
+    x = np.random.default_rng(4).normal(size=(500, 3)).round(2)
+    x[:, 2] = (x[:, 2] > 0) * 1.0
+    edges = trees.bin_edges(x)
+    codes = trees.binned(x, edges)
+    assert max(map(len, edges)) < trees.BINS and len(edges[2]) == 1
+    for f in range(3):
+        order = np.argsort(x[:, f], kind="stable")
+        assert (np.diff(codes[order, f].astype(int)) >= 0).all()
+        assert all(((x[:, f] <= e) == (codes[:, f] <= i)).all() for i, e in enumerate(edges[f]))
+
+
+def _held(rng, n=1500):
+    x = rng.normal(size=(n, 6))
+    y = (x[:, 0] * x[:, 1] + x[:, 2] + rng.normal(size=n) * 0.5 > 0).astype(float)
+    return fits.Sample(x, y, np.ones(n), np.arange(n) % 3)
+
+
+@pytest.mark.parametrize("kind", ["forest", "boost", "tree"])
+def test_as_good_as_the_librarys_trees(spark, kind):
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    whole = _held(np.random.default_rng(5))
+    own, held = whole.without(0), whole.rows(whole.fold == 0)
+    frame = lambda s: supervised.with_vector(
+        spark.createDataFrame([(i, float(y), v.tolist()) for i, (y, v) in enumerate(zip(s.y, s.x))], f"{KEY} long, label double, vec array<double>")
+    )
+    spec, library = {
+        "forest": (fits.TreeSpec("forest", 100, 10, 2, "sqrt"), RandomForestClassifier(numTrees=100, maxDepth=10, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=1)),
+        "boost": (fits.TreeSpec("boost", 40, 4, step=0.1), GBTClassifier(maxIter=40, maxDepth=4, stepSize=0.1, seed=1)),
+        "tree": (fits.TreeSpec("tree", 1, 5, 2, impurity="entropy"), DecisionTreeClassifier(impurity="entropy", maxDepth=5, minInstancesPerNode=2)),
+    }[kind]
+    rows = library.fit(frame(own)).transform(frame(held)).select(KEY, vector_to_array("probability")[1].alias("p")).orderBy(KEY).collect()
+    theirs = fits.auc(held.y, np.asarray([r["p"] for r in rows]))
+    ours = fits.auc(held.y, spec.fit_rows(own).score(held.x))
+    assert ours > theirs - 0.01
+
+
+@pytest.mark.parametrize("kind", ["forest", "boost"])
+def test_one_growth_answers_all_its_grid_points(kind):
+    whole = _held(np.random.default_rng(6), 400)
+    own, held = whole.without(1), whole.rows(whole.fold == 1)
+    spec = fits.TreeSpec(kind, 5, 3, features="sqrt", grid={"trees": [3, 6], "depth": [2, 5], "least": [1, 4]})
+    groups = spec.groups()
+    assert len(groups) == (2 if kind == "forest" else 4) and sum(map(len, groups)) == 8
+    for group in groups:
+        alone = [fits.auc(held.y, p.fit_rows(own).score(held.x)) for p in group]
+        assert fits.TreeSpec.scores(group, own, held) == pytest.approx(alone)
+
+
+def test_fits_of_folds_do_not_see_their_rows_and_repeat(vectors):
+    folded = prep.stratified_folds(vectors, 3)
+    specs = {"a": fits.TreeSpec("boost", 5, 3), "b": fits.NetworkSpec([4], 3), "c": fits.StumpSpec(4)}
+    found = supervised.fit_models(folded, specs, 3)
+    assert set(found) == {(n, f) for n in specs for f in (None, 0, 1, 2)}
+    whole = fits.sample(folded)
+    assert len(whole.y) == vectors.count() and set(whole.fold) == {0, 1, 2}
+    for f in range(3):
+        alone = specs["a"].fit_rows(whole.without(f))
+        assert (found["a", f].local.value == alone.value).all()
+    votes = {r[KEY]: r.p for r in supervised.out_of_fold(folded, "a", found, 3).collect()}
+    for r in folded.where("fold = 1").collect():
+        assert votes[r[KEY]] == pytest.approx(found["a", 1].local.score(np.asarray([r.vec]))[0])
+
+
+def test_sample_is_bounded_and_repeatable(vectors):
+    a, b = fits.sample(vectors, 50), fits.sample(vectors.repartition(5), 50)
+    assert len(a.y) == 50 and (a.x == b.x).all() and (a.y == b.y).all()
+
+
+def test_grid_search_picks_the_best_of_the_grid(vectors):
+    spec = fits.TreeSpec("forest", 6, 4, features="sqrt", grid={"depth": [1, 3], "trees": [2, 6]})
+    scores = {(p.trees, p.depth): s for _, p, s in fits.grid_scores(vectors, {"x": spec}, 2)}
+    assert set(scores) == {(t, d) for t in (2, 6) for d in (1, 3)}
+    chosen = spec.tune(vectors, folds=2)
+    assert scores[chosen.trees, chosen.depth] == max(scores.values())
+
+
+def test_measures_per_group(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, int(rng.random() > 0.5), round(float(rng.random()), 1), int(rng.random() > 0.5)) for g in "abc" for _ in range(40)]
+    df = spark.createDataFrame(rows, "g string, label int, p double, predicted int")
+    got = {r["g"]: r.asDict() for r in metrics.evaluate_groups(df, "g").collect()}
+    for g in "abc":
+        assert {m: got[g][m] for m in metrics.METRICS} == pytest.approx(metrics.evaluate(df.where(F.col("g") == g)))
 
 
 def test_linear_shap(labelled):
@@ -380,19 +543,15 @@ def test_queries_train_at_the_full_settings(spark, monkeypatch, query, operator)
 def test_queries_fit_models_at_the_full_settings(spark, monkeypatch, query):
     from credilake.plans import catalog_learn
 
-    full = {str(s) for s in map(_settings, supervised.specs().values())}
-    prepared, used = [], []
+    full, prepared, used = supervised.specs(), [], []
     monkeypatch.setattr(catalog_learn.training, "prepare", lambda df, **o: prepared.append(o) or (None, None, None))
-    stop = lambda spec, *args, **options: used.append((str(_settings(spec)), options)) or _stop()
-    monkeypatch.setattr(supervised.AdaBoostSpec, "fit", stop)
-    monkeypatch.setattr(supervised.MlSpec, "tune" if query == "grid_search" else "fit", stop)
-    with pytest.raises(Called):
-        catalog_learn.QUERIES[query](spark, "/root/testdata/sf0.001")
-    assert prepared == [{}] and used[0][0] in full and used[0][1] == {}
 
+    def stop(df, specs, *args, **options):
+        used.append(specs if isinstance(specs, dict) else {"AdaBoost": specs})
+        _stop()
 
-def _settings(spec):
-    if not isinstance(spec, supervised.MlSpec):
-        return spec
-    known = sorted((p.name, v) for p, v in spec.estimator.extractParamMap().items())
-    return type(spec.estimator), known, spec.grid, spec.hidden, spec.inverse_penalty
+    for name in ("fit_all", "fit_one", "grid_scores"):
+        monkeypatch.setattr(fits, name, stop)
+    with pytest.raises(Called):
+        catalog_learn.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert prepared == [{}] and used[0] and used[0] == {n: full[n] for n in used[0]}
