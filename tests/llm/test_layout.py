@@ -1,7 +1,9 @@
 """Sharding, mixing and hash trees against brute force."""
 
+import random
 import zlib
 from collections import defaultdict
+from difflib import SequenceMatcher
 from hashlib import sha256
 
 import pytest
@@ -141,6 +143,41 @@ def test_edits_are_located():
     assert sum(b - a for a, b in spans) < 200
 
 
+def unchanged(a: bytes, b: bytes) -> float:
+    """Share of bytes in an alignment of the two texts."""
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def test_likeness_follows_the_bytes_left_unchanged():
+    rnd = random.Random(8)
+    line = lambda n: bytes(rnd.choice(b"abcdefghijklmnopqrstuvwxyz   ") for _ in range(n))
+    short, long = line(140), bytes(rnd.choice(b"abcdefghij") for _ in range(4000))
+    cases = [(short, short[:100]), (short, short[:70] + b"\n" + short[70:]), (long, long[:9] + b"zz" + long[9:])]
+    for n in (300, 900, 2500):
+        text = b"\n".join(line(rnd.randrange(20, 200)) for _ in range(n // 100))
+        at = rnd.randrange(len(text) // 2)
+        cases += [(text, text[:at] + text[at + 60 :]), (text, text[:at] + line(50) + text[at:]), (text, text[: len(text) // 2] + line(len(text) // 2))]
+    assert all(merkle.likeness(merkle.tree(a), merkle.tree(b)) > 0.5 for a, b in cases[:3])
+    for a, b in cases:
+        found = merkle.likeness(merkle.tree(a), merkle.tree(b))
+        assert found == merkle.likeness(merkle.tree(b), merkle.tree(a))
+        lost = 200 / (len(a) + len(b))  # an edit touches the phrases around it, in both texts
+        assert unchanged(a, b) - 0.1 - lost < found <= unchanged(a, b) + 0.02, (len(a), len(b), found, unchanged(a, b))
+    assert merkle.likeness(merkle.tree(line(500)), merkle.tree(line(500))) < 0.1
+
+
+def test_phrases_are_the_text_and_are_cut_by_content():
+    for _, text in pairs():
+        root = merkle.tree(text.encode())
+        lines = [p for s in root.children for p in s.children]
+        assert sum(p.weight for p in lines) == len(text.encode()) + 1
+        assert [sum(x.weight for x in p.children) for p in lines] == [len(x) for x in text.encode().split(b"\n")]
+    text = pairs()[4][1].encode()
+    ends = merkle.phrase_ends(text)
+    assert [e + 7 for e in ends if e > 4] == [e for e in merkle.phrase_ends(b"another" + text) if e > 11]
+    assert 12 < len(text) / len(ends) < 48
+
+
 def expected_fingerprints(found):
     ordered = sorted(found, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     out = []
