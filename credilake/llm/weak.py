@@ -231,8 +231,9 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
     codes = np.asarray([r["code"] for r in patterns], np.int64)
     counts = np.asarray([r["n"] for r in patterns], np.float64)
     labels = fit_labels(codes, counts)
-    total = int(counts.sum())
-    share = F.col("pick") < F.lit(min(1 << 20, (train_rows << 20) // max(1, total)))
+    # the share goes by different texts, so that a table of copies gives as large a sample as any other
+    distinct = rows.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]
+    share = F.col("pick") < F.lit(min(1 << 20, (train_rows << 20) // max(1, distinct)))
     # copies of one text are one row of the sample, so a large group of them neither fills nor misses it
     chosen = rows.where(share).dropDuplicates(["text"]).mapInArrow(describe, "pick long, code int, x binary")
     sample = sorted((r["pick"], r["code"], bytes(r["x"])) for r in chosen.collect())
