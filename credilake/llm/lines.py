@@ -142,7 +142,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
         .agg(F.count("n").alias("docs"), F.max("doc").alias("keeper"))
         .where(F.col("docs") >= min_docs)
     )
-    decided = still_open.join(shared, ["k1", "k2"]).where(F.col("doc") != F.col("keeper"))
+    # a few keys per partition, so they are sent to the lines: a line that a third of all documents hold stays spread
+    decided = still_open.join(F.broadcast(shared), ["k1", "k2"]).where(F.col("doc") != F.col("keeper"))
     return found.where("not open").select("doc", "row", "at").unionByName(decided.select("doc", "row", "at"))
 
 
