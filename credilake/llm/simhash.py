@@ -24,11 +24,6 @@ SEED = 42
 #: divided by the parts (rounded down) in one part at least.
 PARTS = 3
 
-#: Settings by which whole texts count as near copies: five words and a similarity of 0.8 or more. Half of the
-#: bits of such pairs' five-word fingerprints would be too far apart to be searched, so the search goes by the
-#: set of word pairs (at a similarity of 0.8 about 6 bits differ) and five-word shingles confirm.
-NEAR_COPIES = {"words": 2, "distance": 7, "parts": 4, "unique": True, "confirm": (5, 14)}
-
 #: Fingerprints a shard is meant to hold, and most levels of a tree.
 SHARD_ROWS = 1024
 MOST_LEVELS = 14
@@ -332,5 +327,5 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"),
     )
     joined = left.join(keep, left["id"].eqNullSafe(keep["doc_id"]) & (left["hash"] == keep["row"]), "left_semi")
-    one = joined.groupBy("id", "hash").agg(F.first("d").alias("d"))
+    one = joined.groupBy("id", "hash").agg(F.min_by("d", F.to_json("d")).alias("d"))
     return one.select(*[F.col(f"d.{c}").alias(c) for c in docs.columns])

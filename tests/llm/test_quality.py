@@ -179,9 +179,7 @@ def test_pipeline(spark):
     assert n["line dedup"] == n["quality"]
     texts = {r["doc_id"]: r["text"] for r in seen[2].collect()}
     kept = {r["doc_id"] for r in seen[3].collect()}
-    prints = {
-        i: (simhash.fingerprint(t.encode(), 2, True), simhash.fingerprint(t.encode(), 5)) for i, t in texts.items()
-    }
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in texts.items()}
     for i in texts.keys() - kept:  # gone for a smaller id that is linked
         assert any(j < i and _near(prints[i], prints[j]) for j in texts)
     ordered = sorted(kept)
@@ -195,5 +193,4 @@ def test_pipeline(spark):
 
 
 def _near(a, b):
-    _, most = simhash.NEAR_COPIES["confirm"]
-    return (a[0] ^ b[0]).bit_count() <= simhash.NEAR_COPIES["distance"] and (a[1] ^ b[1]).bit_count() <= most
+    return (a ^ b).bit_count() <= simhash.MAX_DISTANCE

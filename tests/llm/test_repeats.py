@@ -198,12 +198,24 @@ def test_dense_groups_are_connected_by_few_links():
 def test_one_of_each_near_copy_stays(spark):
     found = pairs()
     docs = given_rows(spark, found)
-    kept = sorted(simhash.one_of_each(docs, **simhash.NEAR_COPIES).collect(), key=sort_key)
-    ids = [r["doc_id"] for r in kept]
-    assert len(set(ids)) == len(ids) and set(docs.columns) == set(kept[0].asDict())
-    assert {6, 12, 5, 16} & set(ids) == {6, 5, 16}  # 12 is near -5
-    assert not {7, 8, 14} & set(ids)
-    assert simhash.one_of_each(frame(spark, empty=True), **simhash.NEAR_COPIES).count() == 0
+    kept = sorted(simhash.one_of_each(docs).collect(), key=sort_key)
+    prints = [simhash.fingerprint(t.encode()) for _, t in found]
+    parts = {i: {i} for i in range(len(found))}
+    for i in range(len(found)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= simhash.MAX_DISTANCE and parts[i] is not parts[j]:
+                parts[i] |= parts[j]
+                parts.update(dict.fromkeys(parts[j], parts[i]))
+    least = {id(c): min((found[i][0] is None, found[i][0] or 0) for i in c) for c in parts.values()}
+    ids = [(r["doc_id"] is None, r["doc_id"] or 0) for r in kept]
+    assert sorted(ids) == sorted(least.values()) and set(docs.columns) == set(kept[0].asDict())
+    assert simhash.one_of_each(frame(spark, empty=True)).count() == 0
+
+
+def test_one_of_each_is_the_same_whatever_the_order(spark):
+    rows = [(1, "same text here", str(i)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {simhash.one_of_each(docs.repartition(n)).first()["lang"] for n in (1, 3, 8)} == {"0"}
 
 
 def test_one_of_each_component_stays_without_ids_or_with_one_id(spark):
@@ -211,7 +223,7 @@ def test_one_of_each_component_stays_without_ids_or_with_one_id(spark):
     unrelated = [" ".join(f"{w}{i * j % 97}" for j in range(1, 60)) for i, w in enumerate("abcdef", 1)]
     found = [(None, unrelated[0]), (None, unrelated[1]), (None, unrelated[2]), (4, unrelated[3]), (4, unrelated[4])]
     found += [(5, unrelated[5]), (None, unrelated[5]), (None, unrelated[0]), (4, unrelated[3]), (6, unrelated[3])]
-    kept = simhash.one_of_each(given_rows(spark, found), **simhash.NEAR_COPIES).collect()
+    kept = simhash.one_of_each(given_rows(spark, found)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=sort_key) == sorted(found[:6], key=sort_key)
 
 
