@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from credilake.operators import anomaly, cluster_metrics, clustering, neighbors, patterns
+from credilake.operators import anomaly, cluster_metrics, clustering, many_means, neighbors, patterns
 from credilake.operators.components import connected_components
 
 
@@ -172,8 +172,52 @@ def test_best_k_first_wins_ties(spark):
     assert clustering.best_k(rows).first()[0] == 3
 
 
+def _cost(x, centres):
+    return ((x[:, None] - np.asarray(centres)) ** 2).sum(2).min(1).sum()
+
+
+def test_many_kmeans_cost_no_more_than_the_library(spark):
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 1.0, (n, 3)) for c, n in ((0, 200), (6, 80), (-7, 40), (15, 5))])
+    df = clustering.materialize(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>"), "test")
+    found = many_means.fit_many(df, [2, 3, 4, 6], restarts=10)
+    features = clustering._features(df)
+    for k, centres in found.items():
+        theirs = min(KMeans(k=k, seed=42 + r, maxIter=300, tol=1e-4).fit(features).summary.trainingCost for r in range(3))
+        assert len(centres) == k and centres == sorted(centres) and _cost(x, centres) <= theirs * 1.0001
+    again = many_means.fit_many(df.repartition(5), [3], restarts=10)[3]
+    assert np.allclose(again, found[3])
+
+
+def test_silhouettes_of_many_labellings(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(90, 3)).round(1)
+    x[60:] = x[:30]  # repeated points, some of them labelled otherwise
+    labels = np.stack([rng.integers(0, 2, 90), rng.integers(-1, 4, 90), np.arange(90) // 89], 1)
+    rows = [(i, v.tolist(), *map(int, row)) for i, (v, row) in enumerate(zip(x, labels))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, a int, b int, c int")
+    found = cluster_metrics.silhouettes(df, ["a", "b", "c"], chunk_rows=16)
+    for name in "abc":
+        one = cluster_metrics.silhouette(df.select("id", "vec", df[name].alias("cluster"))).first()[0]
+        assert found[name] == pytest.approx(one)
+
+
+def test_kmeans_of_few_or_equal_rows(spark):
+    df = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(9)], "id long, vec array<double>")
+    assert many_means.fit_many(df, [4], restarts=2)[4] == [[0.0, 1.0], [1.0, 1.0]]
+    assert many_means.fit_many(df.limit(0), [2, 3])[3] == []
+
+
 def test_ward_merges_like_the_definition():
-    rng = np.random.default_rng(7)
+    for seed in range(5):
+        _ward_case(seed)
+    assert clustering.ward_merge(np.zeros((3, 2)), np.array([0, 2, 0]), 2).tolist() == [-1, 0, -1]
+
+
+def _ward_case(seed):
+    rng = np.random.default_rng(seed)
     centres, sizes = rng.normal(size=(12, 2)), rng.integers(1, 9, 12)
     label = clustering.ward_merge(centres, sizes, 4)
     groups = [[i] for i in range(12)]
