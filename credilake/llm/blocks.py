@@ -119,6 +119,17 @@ def _arrays(column: pa.ChunkedArray | pa.Array, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x or b"", kind) for x in column.to_pylist()]
 
 
+def _packed(sorted_keys: np.ndarray) -> bytes:
+    """Differences of sorted numbers of 32 bits, byte by byte, compressed: the upper bytes hold little."""
+    planes = np.diff(sorted_keys.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal values in a sorted array."""
     if len(bucket):
@@ -175,11 +186,11 @@ def block_hits(chunked: DataFrame, block: int, buckets: int) -> DataFrame:
             last = np.append(np.flatnonzero(key[1:] >> np.uint64(2) != key[:-1] >> np.uint64(2)), len(key) - 1)
             several = np.diff(last, prepend=-1) > 1  # of equal hashes the last one says whether a block is among them
             key = key[last] | several.astype(np.uint64) << np.uint64(1)
-            rows = [(b, chunk, _bytes(key[s], "<u4")) for b, s in _dealt(key >> np.uint64(32))]
+            rows = [(b, chunk, _packed(key[s])) for b, s in _dealt(key >> np.uint64(32))]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def index(group: pa.Table) -> pa.Table:
-        own, bucket = _arrays(group.column("keys"), "<u4"), group.column("bucket")[0].as_py()
+        own, bucket = [_unpacked(x) for x in group.column("keys").to_pylist()], group.column("bucket")[0].as_py()
         key = np.concatenate(own)
         order = np.argsort(key, kind="stable")
         runs = np.append(0, np.cumsum(key[order][1:] >> 2 != key[order][:-1] >> 2))
