@@ -186,18 +186,48 @@ def _decision_stream(spark, sf_dir) -> DataFrame:
     return stored.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "final_decision", "n")
 
 
-def _label_stream(spark, sf_dir) -> DataFrame:
-    """Label events, each delivered twice, newest half first and one file per trigger, through the stream into a log."""
-    arrivals, path = _work(spark, "label-events"), _work(spark, "labels")
+def _label_arrivals(spark, sf_dir) -> str:
+    """Label events as files, each event delivered twice, the newest first: every part is one trigger or more."""
+    arrivals = _work(spark, "label-events")
     events = label_log(spark, sf_dir)
     newest = events.agg(F.max("updated_at")).scalar()
     old = F.col("updated_at") < newest - F.expr("INTERVAL 365 DAYS")
     for part in (events.where(~old), events.where(old), events):
-        part.coalesce(1).write.mode("append").json(arrivals)
-    labels = jobs.label_stream(jobs.read_labels(spark, arrivals, files_per_trigger=1))
+        part.write.mode("append").json(arrivals)
+    return arrivals
+
+
+def _label_stream(spark, sf_dir) -> DataFrame:
+    """Label events, out of order and with repeats, through the stream into a log."""
+    path = _work(spark, "labels")
+    labels = jobs.label_stream(jobs.read_labels(spark, _label_arrivals(spark, sf_dir)))
     jobs.write_labels(labels, path, _work(spark, "labels-progress")).awaitTermination()
     stored = spark.read.parquet(path)
-    return stored.groupBy("true_label").agg(F.count_distinct("event_id").alias("n"), F.count_distinct("id").alias("clients"))
+    return stored.groupBy("true_label").agg(F.count("event_id").alias("n"), F.count_distinct("id").alias("clients"))
+
+
+def _newest_label_stream(spark, sf_dir) -> DataFrame:
+    """The label that the stream of newest labels gave each evaluation last, by the number of the batch alone."""
+    path = _work(spark, "newer-labels")
+    labels = jobs.newest_labels_stream(jobs.read_labels(spark, _label_arrivals(spark, sf_dir), files_per_trigger=8))
+    jobs.write_newest_labels(labels, path, _work(spark, "newer-labels-progress")).awaitTermination()
+    last = F.max_by(F.struct("true_label", "updated_at"), "batch").alias("l")
+    latest = spark.read.parquet(path).groupBy("id").agg(last).select("id", "l.*")
+    return latest.select("id", "true_label", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"))
+
+
+def _application_sinks(spark, sf_dir) -> DataFrame:
+    """Applications, some of which break rules, through the stream with an error table: days logged, reasons counted."""
+    arrivals, path, errors = (_work(spark, n) for n in ("mixed-applications", "mixed-log", "mixed-errors"))
+    at = loaded(spark, sf_dir)["evaluaciones"].select(KEY, F.col("fecha_evaluacion").cast("timestamp").alias("created_at"))
+    _applications(spark, sf_dir).drop(TARGET).join(at, KEY).write.json(arrivals)
+    jobs.write_scored(
+        jobs.read_applications(spark, arrivals), lambda df: decisions.prediction(fixed_probability(df)),
+        path, errors, _work(spark, "mixed-progress"),
+    ).awaitTermination()
+    logged = log.read_evaluations(spark, path).select(F.lit("logged").alias("outcome"))
+    refused = spark.read.parquet(errors).select(F.explode("reject_reasons").alias("outcome"))
+    return logged.unionByName(refused).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 # --- preparation and models --------------------------------------------------------------------------------
@@ -384,6 +414,8 @@ QUERIES = {
     "stream_decision_counts": _decision_stream,
     "stream_scored": _scored_stream,
     "stream_labels": _label_stream,
+    "stream_labels_newest": _newest_label_stream,
+    "stream_application_sinks": _application_sinks,
     "models_metrics": lambda s, d: _trained(s, d).metrics,
     "cross_validation": _cv_frame,
     "stacking": _stacked,

@@ -203,4 +203,18 @@ GROUP BY 1""",
     ),
     "stream_labels": f"""WITH {_LABEL_EVENTS} SELECT true_label, COUNT(*) AS n, COUNT(DISTINCT id) AS clients
 FROM eventos_etiqueta WHERE true_label IN (0, 1) GROUP BY 1""",
+    "stream_application_sinks": with_profile(
+        """
+SELECT outcome, COUNT(*) AS n FROM (
+  SELECT CASE WHEN a.ingreso_mensual > 0 AND a.total_activos >= 0 AND a.tem <= 1 AND a.num_cuotas BETWEEN 1 AND 120 THEN 'logged' END AS outcome
+  FROM sol a JOIN evaluaciones e USING (id_cliente)
+  UNION ALL SELECT 'ingreso_mensual must be > 0' FROM sol JOIN evaluaciones USING (id_cliente) WHERE ingreso_mensual <= 0
+  UNION ALL SELECT 'total_activos must be >= 0' FROM sol JOIN evaluaciones USING (id_cliente) WHERE total_activos < 0
+  UNION ALL SELECT 'tem must be <= 1' FROM sol JOIN evaluaciones USING (id_cliente) WHERE tem > 1
+  UNION ALL SELECT 'num_cuotas must be >= 1' FROM sol JOIN evaluaciones USING (id_cliente) WHERE num_cuotas < 1
+  UNION ALL SELECT 'num_cuotas must be <= 120' FROM sol JOIN evaluaciones USING (id_cliente) WHERE num_cuotas > 120)
+WHERE outcome IS NOT NULL GROUP BY 1""",
+        APPLICATIONS,
+    ),
 }
+LEARN["stream_labels_newest"] = LEARN["labels_latest"]

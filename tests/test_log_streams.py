@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from credilake.constants import KEY
 from credilake.functions import decisions, scoring
+from credilake.operators.validate import RULES
 from credilake.plans.catalog_core import decided, fixed_probability
 from credilake.sources import evaluations as log
 from credilake.streaming import jobs
@@ -98,7 +99,7 @@ def test_label_events_are_taken_once(spark, tmp_path):
     stream = jobs.label_stream(jobs.read_labels(spark, str(tmp_path / "in")))
     jobs.write_labels(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     stored = spark.read.parquet(str(tmp_path / "out"))
-    assert stored.count() == 3  # a repeated delivery is logged and counts once in the live view
+    assert stored.count() == 2  # a repeated delivery is logged once, 5 is no label
     assert {r.id: r.true_label for r in log.latest_labels(stored).collect()} == {1: 1}
 
 
@@ -111,3 +112,64 @@ def test_labels_older_than_any_watermark_are_kept(spark, tmp_path):
         jobs.write_labels(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     stored = spark.read.parquet(str(tmp_path / "out"))
     assert {r.id: r.true_label for r in log.latest_labels(stored).collect()} == {1: 0, 2: 1}
+
+
+def _labels(folder, name, *rows):
+    """A file of label events (id, label, month, event)."""
+    folder.mkdir(exist_ok=True)
+    line = '{{"id": {}, "true_label": {}, "updated_at": "2024-{:02d}-01T00:00:00", "event_id": {}}}\n'
+    (folder / name).write_text("".join(line.format(*r) for r in rows))
+
+
+def test_repeats_are_known_over_runs(spark, tmp_path):
+    events = [(1, 0, 6, 1), (1, 1, 2, 2), (2, 1, 3, 3)]
+    for name in ("a.json", "b.json"):
+        _labels(tmp_path / "in", name, *events, events[0])
+        stream = jobs.label_stream(jobs.read_labels(spark, str(tmp_path / "in"), 1))
+        jobs.write_labels(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.id, r.event_id) for r in stored.collect()) == [(1, 1), (1, 2), (2, 3)]
+
+
+def test_newest_label_holds_against_repeats_and_stragglers(spark, tmp_path):
+    def run():
+        stream = jobs.newest_labels_stream(jobs.read_labels(spark, str(tmp_path / "in"), 1))
+        jobs.write_newest_labels(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        return sorted((r.batch, r.id, r.event_id, r.true_label) for r in rows)
+
+    _labels(tmp_path / "in", "a.json", (1, 0, 6, 1), (1, 1, 7, 2), (2, 1, 3, 3), (3, 9, 9, 9))
+    assert run() == [(0, 1, 2, 1), (0, 2, 3, 1)]
+    _labels(tmp_path / "in", "b.json", (1, 1, 7, 2), (1, 0, 1, 4), (2, 0, 4, 5))  # a repeat, a straggler, a newer one
+    assert run() == [(0, 1, 2, 1), (0, 2, 3, 1), (1, 1, 2, 1), (1, 2, 5, 0)]
+
+
+def test_every_application_is_logged_or_rejected(spark, profile, tmp_path, monkeypatch):
+    good = profile.drop("viable").na.fill(0).limit(40)
+    bad = applications(spark, SAMPLE | {"ingreso_mensual": 0}, SAMPLE | {"tem": 2, "num_cuotas": 0})
+    stamped = good.unionByName(bad).withColumn("created_at", F.to_timestamp(F.lit("2024-01-01 10:00:00")))
+    stamped.repartition(3).write.json(str(tmp_path / "in"))
+    (tmp_path / "in" / "torn.json").write_text('{"id_cliente": 7, "ingr\n')
+    paths = [str(tmp_path / n) for n in ("out", "errors", "cp")]
+
+    def run():
+        stream = jobs.read_applications(spark, str(tmp_path / "in"), 1)
+        jobs.write_scored(stream, lambda df: decisions.prediction(fixed_probability(df)), *paths).awaitTermination()
+
+    replace = jobs._replace_batch
+
+    def failing(rows, path, *partitions):
+        if path == paths[1]:
+            raise RuntimeError("lost between the two tables")
+        replace(rows, path, *partitions)
+
+    monkeypatch.setattr(jobs, "_replace_batch", failing)
+    with pytest.raises(Exception, match="lost between"):
+        run()  # the first batch is in the log and not in the error table
+    monkeypatch.setattr(jobs, "_replace_batch", replace)
+    run()
+    logged, errors = log.read_evaluations(spark, paths[0]), spark.read.parquet(paths[1])
+    assert logged.count() == 40 and errors.count() == 3
+    assert sorted(len(r.reject_reasons) for r in errors.collect()) == [1, 2, len(RULES)]
+    run()
+    assert log.read_evaluations(spark, paths[0]).count() == 40
