@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credilake.constants import KEY, TARGET
+from credilake.constants import FEATURES, KEY, TARGET
 from credilake.operators import anomaly, clean, cluster_metrics, clustering, neighbors, patterns
 from credilake.operators.scaling import RobustScale
 from credilake.operators.supervised import knn_vote
@@ -49,7 +49,7 @@ def _lof_flags(spark, sf_dir) -> DataFrame:
 def _profiles(spark, sf_dir) -> DataFrame:
     """Profiles by the latest order's term as a given labelling."""
     df = snapshot(spark, sf_dir).withColumn("cluster", F.col("num_cuotas"))
-    columns = ["ingreso_mensual", "total_gastos", "total_activos", "total_deudas"]
+    columns = [c for c in FEATURES if c != "num_cuotas"]
     profiles = cluster_metrics.cluster_profiles(df, columns)
     # sums of cents differ in their last bits by the order of rows: rounded twice, ties fall alike
     profiles = rounded(profiles, 8, *[f"center_{c}" for c in columns])
@@ -77,13 +77,13 @@ def _top_rules(spark, sf_dir) -> DataFrame:
 
 
 def _scaled(spark, sf_dir) -> DataFrame:
-    df = snapshot(spark, sf_dir).select(KEY, "ingreso_mensual", "total_gastos", "capital_trabajo", "tem", "mora_diaria")
+    df = snapshot(spark, sf_dir).select(KEY, *FEATURES)
     return rounded(RobustScale.fit(df, df.columns[1:]).transform(df), 9, *df.columns[1:])
 
 
 def _inverse(spark, sf_dir) -> DataFrame:
     """Scaled and back: the original units again."""
-    df = snapshot(spark, sf_dir).select(KEY, "ingreso_mensual", "total_gastos", "capital_trabajo", "tem", "mora_diaria")
+    df = snapshot(spark, sf_dir).select(KEY, *FEATURES)
     scale = RobustScale.fit(df, df.columns[1:])
     return rounded(scale.inverse(scale.transform(df)), 6, *df.columns[1:])
 

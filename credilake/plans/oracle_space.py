@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from credilake.plans.oracle_core import IMPUTED, with_profile
+from credilake.plans.oracle_core import FEATURE_LIST, IMPUTED, with_profile
 
 _VECTORS = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label AS cluster FROM embeddings)"
 _PAIRS = f"{_VECTORS}, d AS (SELECT a.id, b.id AS other, a.cluster, b.cluster AS other_cluster, list_distance(a.vec, b.vec) AS distance FROM v a JOIN v b ON a.id <> b.id)"
@@ -50,20 +50,20 @@ SPACE = {
         "SELECT p.id_cliente, "
         + ", ".join(
             f"ROUND((p.{c} - q.m_{c}) / CASE WHEN q.r_{c} = 0 THEN 1 ELSE q.r_{c} END, 9) AS {c}"
-            for c in ("ingreso_mensual", "total_gastos", "capital_trabajo", "tem", "mora_diaria")
+            for c in FEATURE_LIST
         )
         + " FROM perfil p CROSS JOIN q",
         "q AS (SELECT "
         + ", ".join(
             f"quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS r_{c}"
-            for c in ("ingreso_mensual", "total_gastos", "capital_trabajo", "tem", "mora_diaria")
+            for c in FEATURE_LIST
         )
         + " FROM perfil)",
     ),
     "inverse_scaled": with_profile(
         "SELECT id_cliente, "
         + ", ".join(
-            f"ROUND({c}, 6) AS {c}" for c in ("ingreso_mensual", "total_gastos", "capital_trabajo", "tem", "mora_diaria")
+            f"ROUND(CAST({c} AS DOUBLE), 6) AS {c}" for c in FEATURE_LIST
         )
         + " FROM perfil"
     ),
@@ -103,9 +103,9 @@ SELECT ROUND(b / w * (n - k) / (k - 1), 6) AS calinski_harabasz FROM between_ss
     "inertia": f"WITH {_LONG} SELECT ROUND(SUM(d2), 6) AS inertia FROM gap",
     "count_clusters": "SELECT COUNT(DISTINCT label) AS num_clusters FROM embeddings",
     "cluster_profiles": with_profile(
-        """SELECT num_cuotas AS cluster, COUNT(*) AS size, ROUND(ROUND(AVG(ingreso_mensual), 8), 4) AS center_ingreso_mensual,
-                  ROUND(ROUND(AVG(total_gastos), 8), 4) AS center_total_gastos, ROUND(ROUND(AVG(total_activos), 8), 4) AS center_total_activos,
-                  ROUND(ROUND(AVG(total_deudas), 8), 4) AS center_total_deudas, ROUND(AVG(viable), 4) AS viable_ratio,
+        "SELECT num_cuotas AS cluster, COUNT(*) AS size, "
+        + ", ".join(f"ROUND(ROUND(AVG({c}), 8), 4) AS center_{c}" for c in FEATURE_LIST if c != "num_cuotas")
+        + """, ROUND(AVG(viable), 4) AS viable_ratio,
                   ROUND(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM perfil) * 100, 4) AS percentage, FALSE AS is_noise
            FROM perfil GROUP BY 1"""
     ),
