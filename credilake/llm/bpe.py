@@ -21,9 +21,47 @@ BLANKS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: Stands behind the last character of a word while the word is encoded; no byte is written this way.
 END = "\x00"
 
-#: Distinct words whose tokens a worker remembers; the memory is started anew when it is full.
-REMEMBERED = 300_000
+#: Code points that newer Unicode versions class as letters and the vocabulary's library as symbols.
+LATER_LETTERS = (
+    "\\u0558\\u058b-\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7ce-\\ua7cf\\ua7d2\\ua7d4\\ua7dd\\ua7e2\\ua7f1"
+    "\\uab6c-\\uab6d\\U000107bb-\\U000107bf\\U00010940-\\U00010959\\U00010ec5-\\U00010ec7\\U00010ed9-\\U00010eee"
+    "\\U00011b0a\\U00011db0-\\U00011ddb\\U00011df1\\U00016ea0-\\U00016eb8\\U00016ebb-\\U00016ed3\\U00016ff2-\\U00016ff3"
+    "\\U000187f8-\\U000187ff\\U00018cd6-\\U00018cda\\U00018d09-\\U00018d20\\U00018d80-\\U00018df2\\U00018e00-\\U00019191"
+    "\\U000191a0-\\U000191d2\\U0001b123-\\U0001b128\\U0001b168\\U0001d6a6\\U0001df1f-\\U0001df24\\U0001df2b-\\U0001df81"
+    "\\U0001df90-\\U0001df96\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2\\U0001e6e4-\\U0001e6e5"
+    "\\U0001e6e7-\\U0001e6ed\\U0001e6f0-\\U0001e6f4\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e"
+    "\\U0002cea2-\\U0002cead\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
+)
+
+#: The same for numbers.
+LATER_NUMBERS = "\\U00011de0-\\U00011de9\\U0001246f\\U00012475-\\U0001247f\\U00012550-\\U00012686\\U00016ff4-\\U00016ff6"
+
+#: Marks that the library's composition does not know: it neither reorders nor composes across them.
+LATER_MARKS = (
+    "\\u07fd\\u0898-\\u089f\\u08ca-\\u08d3\\u09fe\\u0c3c\\u0d3b-\\u0d3c\\u0eba\\u1715\\u1abf-\\u1ace\\u1df6-\\u1dfa\\ua82c"
+    "\\U00010d24-\\U00010d27\\U00010eab-\\U00010eac\\U00010efd-\\U00010eff\\U00010f46-\\U00010f50\\U00010f82-\\U00010f85"
+    "\\U00011070\\U0001133b\\U0001145e\\U00011839-\\U0001183a\\U00011930\\U0001193d-\\U0001193e\\U00011943\\U000119e0"
+    "\\U00011a34\\U00011a47\\U00011a99\\U00011d42\\U00011d44-\\U00011d45\\U00011d97\\U00011f41-\\U00011f42"
+    "\\U00016ff0-\\U00016ff1\\U0001e08f\\U0001e130-\\U0001e136\\U0001e2ae\\U0001e2ec-\\U0001e2ef\\U0001e4ec-\\U0001e4ef"
+)
 
+#: Capitals that the library lowers and this Python may not know yet.
+LATER_CAPITALS = {
+    0x1C89: 0x1C8A,
+    0xA7CB: 0x0264,
+    0xA7CC: 0xA7CD,
+    0xA7CE: 0xA7CF,
+    0xA7D2: 0xA7D3,
+    0xA7D4: 0xA7D5,
+    0xA7DA: 0xA7DB,
+    0xA7DC: 0x019B,
+    **{c: c + 32 for c in range(0x10D50, 0x10D66)},
+    **{c: c + 27 for c in range(0x16EA0, 0x16EB9)},
+}
+
+#: Distinct words and characters of words that a worker remembers; the memory is started anew when it is full.
+REMEMBERED = 300_000
+REMEMBERED_CHARS = 64_000_000
 
 
 def byte_letters() -> list[str]:
@@ -63,7 +101,12 @@ class Bpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in blob])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(blob), np.uint8)
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANKS}\p{{L}}\p{{N}}]+")
+        letter, number = rf"\p{{L}}--[{LATER_LETTERS}]", rf"\p{{N}}--[{LATER_NUMBERS}]"
+        self.words = regex.compile(
+            rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{BLANKS}[{letter}][{number}]]+"
+        )
+        self.marks = regex.compile(f"([{LATER_MARKS}])")
+        self.capitals = regex.compile("[" + "".join(map(chr, LATER_CAPITALS)) + "]")
         self.cut = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
         self.known: dict[tuple[int, int], bool] = {}
 
@@ -131,7 +174,10 @@ class Bpe:
 
     def normalized(self, text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
+            text = "".join(unicodedata.normalize("NFC", part) for part in self.marks.split(text))
+            text = text.replace("Σ", "σ")  # no final sigma
+            if self.capitals.search(text):
+                text = text.translate(LATER_CAPITALS)
         return text.lower()
 
     def pieces(self, text: str) -> list[str | int]:
@@ -167,15 +213,18 @@ def _model(config: str) -> Bpe:
 
 
 def _encoded(model: Bpe, memory: dict, all_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the texts one behind the other, and where each text ends."""
+    """Tokens of the texts one behind the other, and where each text ends. ``memory[None]`` counts the characters of
+    the words in ``memory``."""
     flat: list[np.ndarray] = []
     ends = []
     total = 0
     for text in all_texts:
         found = model.pieces(text)
-        if len(memory) > REMEMBERED:
+        if len(memory) > REMEMBERED or memory.get(None, 0) > REMEMBERED_CHARS:
             memory.clear()
-        for piece in set(found).difference(memory):
+        new = set(found).difference(memory)
+        memory[None] = memory.get(None, 0) + sum(len(p) for p in new if isinstance(p, str))
+        for piece in new:
             memory[piece] = np.asarray([piece] if isinstance(piece, int) else model.encode_word(piece), np.int32)
         own = [memory[p] for p in found]
         if own:

@@ -35,6 +35,36 @@ def test_random_words_are_encoded_like_the_library(model, library):
         assert model.decode(ids) == library.decode(ids, skip_special_tokens=False), text
 
 
+@pytest.mark.parametrize("form", ["a%sa", "!%s1", "A%s\u0301", "A%s\u0323", "a\u0345%s"])
+def test_every_code_point_is_encoded_like_the_library(model, library, form):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 50_000):
+        texts = [form.replace("%s", chr(c)) for c in points[k : k + 50_000]]
+        wrong = [
+            ascii(text)
+            for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False))
+            if model.encode(text) != found.ids
+        ]
+        assert not wrong
+
+
+def test_marks_and_letters_in_random_order(model, library):
+    rnd = random.Random(4)
+    letters = "aAeĀ\u0301\u0323\u0345\u07fd\u0898\u0c3c\u1abf\U00011935\U00011930\u1c89\ua7cb\u0558\u208f가ᄀ\u1161\u11a8"
+    for _ in range(5000):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 12)))
+        assert model.encode(text) == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_long_words_leave_the_memory(model, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARS", 100)
+    memory = {}
+    for c in "abcdef":
+        bpe._encoded(model, memory, [c * 90])
+        assert memory[None] <= 190
+        assert sum(len(w) for w in memory if isinstance(w, str)) == memory[None]
+
+
 def test_special_tokens_in_a_text(model, library):
     text = "a<|endoftext|>b <|startoftext|><|ENDOFTEXT|> c"
     assert model.encode(text) == library.encode(text, add_special_tokens=False).ids
