@@ -101,12 +101,14 @@ class Bpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in blob])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(blob), np.uint8)
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        letter, number = rf"\p{{L}}--[{LATER_LETTERS}]", rf"\p{{N}}--[{LATER_NUMBERS}]"
-        self.words = regex.compile(
-            rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{BLANKS}[{letter}][{number}]]+"
-        )
+        letter, number = r"\p{L}", r"\p{N}"
+        known_letter, known_number = rf"[\p{{L}}--[{LATER_LETTERS}]]", rf"[\p{{N}}--[{LATER_NUMBERS}]]"
+        words = "'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^{2}{0}{1}]+"
+        self.words = regex.compile(words.format(letter, number, BLANKS))
+        self.words_of_rare = regex.compile("(?V1)" + words.format(known_letter, known_number, BLANKS))
+        capitals = "".join(map(chr, LATER_CAPITALS))
+        self.rare = regex.compile(f"[{LATER_LETTERS}{LATER_NUMBERS}{LATER_MARKS}{capitals}]")
         self.marks = regex.compile(f"([{LATER_MARKS}])")
-        self.capitals = regex.compile("[" + "".join(map(chr, LATER_CAPITALS)) + "]")
         self.cut = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
         self.known: dict[tuple[int, int], bool] = {}
 
@@ -172,25 +174,27 @@ class Bpe:
                 at -= lengths.pop()
         return out
 
-    def normalized(self, text: str) -> str:
-        if not text.isascii():
-            text = "".join(unicodedata.normalize("NFC", part) for part in self.marks.split(text))
-            text = text.replace("Σ", "σ")  # no final sigma
-            if self.capitals.search(text):
-                text = text.translate(LATER_CAPITALS)
-        return text.lower()
+    def plain_pieces(self, text: str) -> list[str]:
+        """Words of a text without special tokens; the few code points on which Unicode versions differ cost only the
+        texts that hold them."""
+        if text.isascii():
+            return self.words.findall(text.lower())
+        if not self.rare.search(text):
+            return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())  # no final sigma
+        text = "".join(unicodedata.normalize("NFC", part) for part in self.marks.split(text))
+        return self.words_of_rare.findall(text.replace("Σ", "σ").translate(LATER_CAPITALS).lower())
 
     def pieces(self, text: str) -> list[str | int]:
         """Words, and the ids of special tokens written out in the text."""
         if not self.cut or not self.cut.search(text):
-            return self.words.findall(self.normalized(text))
+            return self.plain_pieces(text)
         out: list[str | int] = []
         at = 0
         for m in self.cut.finditer(text):
-            out += self.words.findall(self.normalized(text[at : m.start()]))
+            out += self.plain_pieces(text[at : m.start()])
             out.append(self.special[m.group()])
             at = m.end()
-        return out + self.words.findall(self.normalized(text[at:]))
+        return out + self.plain_pieces(text[at:])
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pieces(text) for i in ([p] if isinstance(p, int) else self.encode_word(p))]
