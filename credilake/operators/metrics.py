@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credilake.functions.arithmetic import num
+from credilake.operators.prefix import totals_before
 
 METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
-_SCORE_BUCKETS = 4096
 
 
 def confusion_matrix(df: DataFrame, *by: str) -> DataFrame:
@@ -41,22 +41,17 @@ def classification_metrics(df: DataFrame, *by: str) -> DataFrame:
 def roc_auc(df: DataFrame, score: str = "p", by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve with ties at half, of the whole or per group of ``by``; NULL if only one class occurs.
 
-    Rows collapse to one per distinct score first. Negatives below a score are those of lower score buckets,
-    a running sum over at most a few thousand numbers, and those below it in its bucket, so there is no global
-    sort.
+    Rows collapse to one per distinct score first; the negatives below each score come from a distributed running
+    total, so that scores may pile up anywhere. Rows without a score are left out.
     """
     y = F.col("label") == 1
     per_score = (
-        df.groupBy(*by, F.col(score).cast("double").alias("s"))
+        df.where(F.col(score).isNotNull())
+        .groupBy(*by, F.col(score).cast("double").alias("s"))
         .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-        .withColumn("bucket", F.floor(F.col("s") * _SCORE_BUCKETS))
     )
-    below = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = per_score.groupBy(*by, "bucket").agg(F.sum("neg").alias("bucket_neg"))
-    offsets = buckets.select(*by, "bucket", F.coalesce(F.sum("bucket_neg").over(below), F.lit(0)).alias("offset"))
-    within = Window.partitionBy(*by, "bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_score.withColumn("inside", F.coalesce(F.sum("neg").over(within), F.lit(0))).join(offsets, [*by, "bucket"])
-    wins = F.col("pos") * (F.col("offset") + F.col("inside") + F.col("neg") / num(2))
+    ranked = totals_before(per_score, "neg", "s", by, "below")
+    wins = F.col("pos") * (F.col("below") + F.col("neg") / num(2))
     return ranked.groupBy(*by).agg(
         F.try_divide(F.sum(wins), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc")
     )

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from credilake.constants import FEATURES, KEY, TARGET
 from credilake.operators import explain, fits, metrics, network, prep, regression, supervised, trees
+from credilake.operators.prefix import totals_before
 from credilake.plans import training
 from credilake.sources.models import describe_model, load_model, model_registry, save_model
 
@@ -127,6 +129,28 @@ def test_auc_with_ties(spark, rows):
         assert got == pytest.approx(wins / (len(pos) * len(neg)))
 
 
+def test_auc_of_saturated_scores_per_group(spark):
+    rnd = random.Random(5)
+    rows = [(g, int(rnd.random() < 0.4), 1.0 - rnd.choice([0.0, 1e-16, 1e-9, rnd.random() * 1e-3])) for g in ("a", "b", None) for _ in range(400)]
+    rows += [("c", 1, 0.5), ("a", 1, None)]
+    got = {r[0]: r[1] for r in metrics.roc_auc(spark.createDataFrame(rows, "g string, label int, p double"), by=("g",)).collect()}
+    assert got["c"] is None
+    for g in ("a", "b", None):
+        pos = [p for k, y, p in rows if k == g and y and p is not None]
+        neg = [p for k, y, p in rows if k == g and not y]
+        assert got[g] == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)))
+
+
+def test_totals_before_against_a_loop(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["x", "y", None]), i, rnd.randint(-5, 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, at long, n long").repartition(7)
+    for by in ((), ("g",)):
+        got = {r.at: r.before for r in totals_before(df, "n", "at", by).collect()}
+        assert got == {a: sum(n for h, b, n in rows if b < a and (not by or h == g)) for g, a, _ in rows}
+    assert totals_before(df.limit(0), "n", "at").count() == 0
+
+
 def test_metrics_without_positives(spark):
     row = metrics.classification_metrics(spark.createDataFrame([(0, 0), (0, 0)], "label int, predicted int")).first()
     assert (row.accuracy, row.precision, row.recall, row.f1_score) == (1.0, 0.0, 0.0, 0.0)

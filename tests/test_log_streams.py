@@ -50,6 +50,60 @@ def test_labels_and_deletions(spark, rows, tmp_path):
     assert log.read_evaluations(spark, str(tmp_path / "compacted")).where("true_label = 1").count() == 1
 
 
+def _files(root):
+    return {p: p.stat().st_mtime_ns for p in root.rglob("*.parquet") if "data" in p.parts}
+
+
+def test_compaction_rewrites_touched_days_only(spark, rows, tmp_path):
+    path = str(tmp_path / "log")
+    assert log.read_snapshot(spark, path).count() == 0
+    first = log.append_snapshot(rows, path)
+    by_day = {r.day: r.ids for r in rows.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()}
+    one, gone = by_day["2024-03-05"][0], by_day["2024-03-05"][1]
+    labels = spark.createDataFrame([(one, 1, dt.datetime(2024, 4, 2), 2)], "id long, true_label int, updated_at timestamp, event_id long")
+    deleted = spark.createDataFrame([(gone,), (gone,), (-1,)], "id long")
+    reader = log.read_snapshot(spark, path)  # opened before, read after
+    before = _files(tmp_path / "log")
+    assert log.compact_touched(spark, path, labels, deleted) == ["2024-03-05"]
+    after = _files(tmp_path / "log")
+    assert {p: t for p, t in after.items() if p in before} == before
+    assert {p.parent.name for p in after if p not in before} == {"created_date=2024-03-05"}
+    assert reader.count() == log.read_snapshot(spark, path, first).count() == rows.count()
+    expected = log.live_evaluations(rows, labels, deleted)
+    now = log.read_snapshot(spark, path)
+    assert now.drop("created_date").exceptAll(expected).count() == 0 and now.count() == rows.count() - 1
+    assert log.compact_touched(spark, path, labels, deleted) == []
+    # a day of two segments is joined into one; repeated ids stay
+    log.append_snapshot(rows.where(F.col("created_at") < "2024-03-06").limit(3), path)
+    assert log.compact_touched(spark, path) == ["2024-03-05"]
+    assert log.read_snapshot(spark, path).count() == rows.count() + 2
+
+
+def test_a_lost_compaction_and_a_day_that_empties(spark, rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    log.append_snapshot(rows, path)
+    deleted = rows.where(F.col("created_at") < "2024-03-06").select("id")
+    with monkeypatch.context() as m:
+        m.setattr(log.snapshots, "publish", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            log.compact_touched(spark, path, None, deleted)
+    assert log.read_snapshot(spark, path).count() == rows.count()
+    assert log.compact_touched(spark, path, None, deleted) == ["2024-03-05"]
+    days = {r.created_date.day for r in log.read_snapshot(spark, path).select("created_date").distinct().collect()}
+    assert days == {6, 7}
+    with pytest.raises(FileNotFoundError):
+        log.read_snapshot(spark, path, 9)
+
+
+def test_rows_without_a_date(spark, rows, tmp_path):
+    path = str(tmp_path / "log")
+    log.append_snapshot(rows.limit(4).withColumn("created_at", F.lit(None).cast("timestamp")), path)
+    stored = log.read_snapshot(spark, path)
+    assert stored.count() == 4 and stored.where("created_date is null").count() == 4
+    assert log.compact_touched(spark, path, None, stored.select("id").limit(1)) == [log._NO_DAY]
+    assert log.read_snapshot(spark, path).count() == 3
+
+
 def test_recent_is_a_top_k(rows):
     recent = log.recent_evaluations(rows, 10)
     assert recent.count() == 10 and "TakeOrderedAndProject" in recent._jdf.queryExecution().executedPlan().toString()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from credilake.operators import anomaly, cluster_metrics, clustering, many_means, neighbors, patterns
 from credilake.operators.components import connected_components
+from credilake.operators.scaling import RobustScale
+from credilake.sources import artefacts
 
 
 def _frame(spark, x, **extra):
@@ -254,6 +256,40 @@ def test_lof_novelty(spark, points):
     assert labels == {0: "NORMAL", 1: "ANOMALY"}
 
 
+def test_stored_models_judge_alike(spark, points, tmp_path):
+    known, new = _frame(spark, points[:90]), _frame(spark, points[90:])
+    rows = lambda df: sorted(tuple(r) for r in df.drop("vec").collect())
+    _, forest = anomaly.isolation_forest(known, 0.1, trees=10)
+    path = str(tmp_path / "forest")
+    assert artefacts.save_forest(spark, path, forest) == 1
+    assert rows(anomaly.score_anomaly(new, artefacts.load_forest(spark, path))) == rows(anomaly.score_anomaly(new, forest))
+    base = anomaly.LofBase.fit(known, 10)
+    artefacts.save_lof_base(spark, str(tmp_path / "lof"), base)
+    stored = artefacts.load_lof_base(spark, str(tmp_path / "lof"))
+    assert rows(stored.novelty(new)) == rows(base.novelty(new)) == rows(anomaly.lof_novelty(new, known, 10))
+    centres, scale = clustering.fit_kmeans(known, 3, 2), RobustScale({"a": 1.5, "b": -0.1}, {"a": 2.0, "b": 1.0})
+    artefacts.save_centres(spark, str(tmp_path / "centres"), centres, scale)
+    found, stored_scale = artefacts.load_centres(spark, str(tmp_path / "centres"))
+    assert (found, stored_scale) == ([list(c) for c in centres], scale)
+    assert rows(clustering.assign_cluster(new, found)) == rows(clustering.assign_cluster(new, centres))
+    with pytest.raises(TypeError):
+        artefacts.load_centres(spark, path)
+
+
+def test_a_half_written_version_is_never_read(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "centres")
+    with pytest.raises(FileNotFoundError):
+        artefacts.load_centres(spark, path)
+    artefacts.save_centres(spark, path, [[1.0], [2.0]])
+    with monkeypatch.context() as m:
+        m.setattr(artefacts.snapshots, "publish", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            artefacts.save_centres(spark, path, [[9.0]])
+    assert artefacts.load_centres(spark, path) == ([[1.0], [2.0]], None)
+    assert artefacts.save_centres(spark, path, [[3.0]]) == 2
+    assert artefacts.load_centres(spark, path)[0] == [[3.0]] and artefacts.load_centres(spark, path, 1)[0] == [[1.0], [2.0]]
+
+
 @pytest.mark.parametrize("trees", [20, 100])
 def test_isolation_forest_ranks_planted_outliers(spark, trees):
     rng = np.random.default_rng(4)
