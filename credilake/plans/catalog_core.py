@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credilake.constants import KEY
+from credilake.constants import KEY, MULTI_TARGETS
 from credilake.functions import decisions, features, scoring
 from credilake.functions.arithmetic import num
 from credilake.operators import clean, loans, portfolio, validate
@@ -174,6 +174,21 @@ def _csv(spark, sf_dir) -> DataFrame:
     return files.read_profiles(spark, path)
 
 
+def _multi_csv(spark, sf_dir) -> DataFrame:
+    """Profiles with three targets out to CSV, with a byte-order mark before the header's first name, and in again."""
+    path = _work(spark, "multi-csv")
+    targets = {c: ((F.col(KEY) + i) % 2).cast("int") for i, c in enumerate(MULTI_TARGETS)}
+    marked = snapshot(spark, sf_dir).withColumns(targets).withColumnRenamed(KEY, f"\ufeff{KEY}")
+    marked.write.option("header", True).csv(path)
+    return files.read_multi_target(spark, path)
+
+
+def _bom(spark, sf_dir) -> DataFrame:
+    """Marked column names, as a header left them, are plain again; the targets are no features."""
+    marked = snapshot(spark, sf_dir).withColumn(MULTI_TARGETS[0], F.lit(1)).withColumnRenamed(KEY, f"\ufeff{KEY}")
+    return clean.drop_non_features(clean.strip_bom(marked), keep_target=False)
+
+
 def _json_in(spark, sf_dir) -> DataFrame:
     """The profiles out to JSON lines and in again as applications."""
     path = _work(spark, "applications-json")
@@ -275,6 +290,8 @@ QUERIES = {
     "nullify_non_finite": _non_finite,
     "select_target": lambda s, d: clean.select_target(snapshot(s, d)).select(KEY, "label"),
     "profiles_csv": _csv,
+    "multi_target_csv": _multi_csv,
+    "bom_stripped": _bom,
     "applications_json": _json_in,
     "results_json": _json_out,
     "source_tables": _stored_tables,

@@ -78,6 +78,26 @@ def _ols(spark, sf_dir) -> DataFrame:
     )
 
 
+def _ols_gaps(spark, sf_dir) -> DataFrame:
+    """The fit on ten features against its normal equations: residuals orthogonal to the constant and to every
+    feature, as the cosine of the angle between them, which only the least-squares fit brings to zero."""
+    names = FEATURES[:10]
+    df = clean.clean(snapshot(spark, sf_dir)).withColumn("y", F.col(TARGET).cast("double"))
+    df = materialize(df, "ols")
+    fit = regression.fit_ols(df, names)
+    off = df.withColumns({"intercept": num(1), "off": F.col("y") - fit.value()})
+    terms = ["intercept", *names]
+    x = {c: F.col(c).cast("double") for c in terms}
+    cosines = off.agg(
+        F.count("*").alias("n"),
+        F.avg(fit.value()).alias("mean_fitted"),
+        *[(F.sum(v * F.col("off")) / F.sqrt(F.sum(v * v) * F.sum(F.col("off") * F.col("off")))).alias(c) for c, v in x.items()],
+    )
+    rows = F.array(*[F.struct(F.lit(c).alias("term"), F.abs(F.coalesce(c, num(0))).alias("gap")) for c in terms])
+    out = cosines.select("n", "mean_fitted", F.explode(rows).alias("r")).select("r.term", "n", "mean_fitted", "r.gap")
+    return rounded(out, 5, "mean_fitted", "gap")
+
+
 def _ols_table(spark, sf_dir) -> DataFrame:
     df = clean.engineer_features(clean.clean(snapshot(spark, sf_dir)))
     fit, _ = regression.linear_regression(df, FEATURES[:10])
@@ -133,6 +153,16 @@ def _labels(spark, sf_dir) -> DataFrame:
     return latest.select("id", "true_label", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"))
 
 
+def _compacted(spark, sf_dir) -> DataFrame:
+    """The log in two appends, its labels and deletions folded in, then read by its snapshot."""
+    path = _work(spark, "evaluations-snapshots")
+    rows = materialize(evaluations(spark, sf_dir), "evaluations")
+    for kept in (F.col("total_score") < 650, F.col("total_score") >= 650):
+        log.append_snapshot(rows.where(kept), path)
+    log.compact_touched(spark, path, log.valid_labels(label_log(spark, sf_dir)), deletions(spark, sf_dir))
+    return log.read_snapshot(spark, path).select("id", "true_label", "final_decision")
+
+
 def _feedback(spark, sf_dir) -> DataFrame:
     return training.union_feedback(snapshot(spark, sf_dir), _live(spark, sf_dir))
 
@@ -250,6 +280,19 @@ def _split(spark, sf_dir) -> DataFrame:
     return both.groupBy("part", "label").agg(F.count("*").alias("n"))
 
 
+def _random_split(spark, sf_dir) -> DataFrame:
+    """Clients by how often the two parts of a random split hold them, and whether the same split comes again from rows
+    dealt otherwise."""
+    df = snapshot(spark, sf_dir).select(KEY)
+    parts = None
+    for seed_run, rows in enumerate((df, df.repartition(5))):
+        for part, found in zip(("train", "test"), prep.random_split(rows)):
+            found = found.select(KEY, F.lit(part).alias("part"), F.lit(seed_run).alias("run"))
+            parts = found if parts is None else parts.unionByName(found)
+    per_client = parts.groupBy(KEY).agg(F.count("*").alias("times"), F.count_distinct("part").alias("parts"))
+    return per_client.select(KEY, "times", "parts")
+
+
 def _folds(spark, sf_dir) -> DataFrame:
     folded = prep.stratified_folds(_training_frame(spark, sf_dir).select(KEY, "label"), 5)
     return folded.groupBy("fold", "label").agg(F.count("*").alias("n"))
@@ -392,6 +435,7 @@ QUERIES = {
     "cv_summary": _cv_summary,
     "best_model": _best_model,
     "ols_coefficients": _ols,
+    "ols_normal_equations": _ols_gaps,
     "ols_predict": lambda s, d: rounded(
         _STORED.predict(snapshot(s, d)).select(KEY, "predicted_score", "predicted_label"), 6, "predicted_score"
     ),
@@ -401,6 +445,7 @@ QUERIES = {
     "balanced_weights": _weights,
     "split": _split,
     "folds": _folds,
+    "random_split": _random_split,
     "smote": _smote_counts,
     "yeo_johnson": _power,
     "select_features": _selected,
@@ -408,6 +453,7 @@ QUERIES = {
     "evaluations_recent": _recent,
     "evaluation_counts": lambda s, d: log.evaluation_counts(_live(s, d)),
     "labels_latest": _labels,
+    "evaluations_compacted": _compacted,
     "evaluations_live": lambda s, d: _live(s, d).select("id", "true_label", "final_decision"),
     "union_feedback": _feedback,
     "stream_event_counts": _event_counts,

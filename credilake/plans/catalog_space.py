@@ -9,9 +9,10 @@ from credilake.constants import FEATURES, KEY, TARGET
 from credilake.operators import anomaly, clean, cluster_metrics, clustering, neighbors, patterns
 from credilake.operators.scaling import RobustScale
 from credilake.operators.supervised import knn_vote
-from credilake.plans.catalog_core import rounded, snapshot
+from credilake.plans.catalog_core import _work, rounded, snapshot
 from credilake.plans.unsupervised import cluster_frame, full_analysis
 from credilake.session import materialize
+from credilake.sources.artefacts import load_centres, load_forest, save_centres, save_forest
 
 EPS, MIN_SAMPLES = 1.15, 5
 
@@ -63,6 +64,26 @@ def _assign(spark, sf_dir) -> DataFrame:
     return clustering.assign_cluster(v.drop("cluster"), centres).select("id", "cluster")
 
 
+def _assign_stored(spark, sf_dir) -> DataFrame:
+    """The same through the artefact store."""
+    v = vectors(spark, sf_dir)
+    path = _work(spark, "centres")
+    save_centres(spark, path, [r["centre"] for r in cluster_metrics.centroids(v).orderBy("cluster").collect()])
+    return clustering.assign_cluster(v.drop("cluster"), load_centres(spark, path)[0]).select("id", "cluster")
+
+
+def _forest_stored(spark, sf_dir) -> DataFrame:
+    """Clients that the stored forest scores or flags otherwise than the one just grown: none, of all."""
+    known, new = _halves(spark, sf_dir)
+    _, forest = anomaly.isolation_forest(known, 0.1)
+    path = _work(spark, "forest")
+    save_forest(spark, path, forest)
+    fresh = anomaly.score_anomaly(new, forest).select("id", "score", "label")
+    stored = anomaly.score_anomaly(new, load_forest(spark, path)).select("id", F.col("score").alias("s"), F.col("label").alias("l"))
+    same = F.col("score").eqNullSafe(F.col("s")) & F.col("label").eqNullSafe(F.col("l"))
+    return fresh.join(stored, "id", "full").agg(F.count("*").alias("n"), F.count_if(~same).alias("n_other"))
+
+
 def _rules(spark, sf_dir) -> DataFrame:
     df = clean.clean(snapshot(spark, sf_dir))
     items = patterns.credit_items(clean.engineer_features(df))
@@ -185,6 +206,8 @@ QUERIES = {
     "count_clusters": lambda s, d: cluster_metrics.count_clusters(vectors(s, d)),
     "cluster_profiles": _profiles,
     "assign_cluster": _assign,
+    "assign_cluster_stored": _assign_stored,
+    "iforest_stored": _forest_stored,
     "apriori_rules": _rules,
     "apriori_top": _top_rules,
     "kmeans": _kmeans,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from credilake.constants import REPORT_KPIS
+from credilake.constants import MULTI_TARGETS, REPORT_KPIS
 
 SOURCES = """
 ingresos AS (
@@ -256,6 +256,12 @@ CORE = {
     ),
     "select_target": with_profile("SELECT id_cliente, CAST(viable AS DOUBLE) AS label FROM perfil"),
     "profiles_csv": f"WITH {SOURCES} {SNAPSHOT}",
+    "multi_target_csv": with_profile(
+        "SELECT perfil.*, "
+        + ", ".join(f"CAST((id_cliente + {i}) % 2 AS INTEGER) AS {c}" for i, c in enumerate(MULTI_TARGETS))
+        + " FROM perfil"
+    ),
+    "bom_stripped": with_profile("SELECT id_cliente, " + ", ".join(FEATURE_LIST) + " FROM perfil"),
     "applications_json": with_profile("SELECT id_cliente, " + ", ".join(FEATURE_LIST) + " FROM perfil"),
     "results_json": with_profile(
         """SELECT id_cliente, total_score, a.action AS final_decision

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from credilake.constants import FEATURES
 from credilake.plans.oracle_core import APPLICATIONS, DECIDED, FEATURE_LIST, SCORED, with_profile
 
 _P = """predicciones AS (
@@ -126,6 +127,13 @@ LEARN = {
              SELECT viable AS label, COUNT(*) AS n, CAST(ROUND(COUNT(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS t
              FROM perfil WHERE viable IS NOT NULL GROUP BY 1) CROSS JOIN (VALUES ('train'), ('test')) AS v(part)"""
     ),
+    "random_split": with_profile("SELECT id_cliente, 2 AS times, 1 AS parts FROM perfil"),
+    "ols_normal_equations": with_profile(
+        "SELECT term, n, ROUND(m, 5) AS mean_fitted, CAST(0 AS DOUBLE) AS gap FROM"
+        " (SELECT COUNT(*) AS n, AVG(COALESCE(viable, 0)) AS m FROM perfil) CROSS JOIN (VALUES ('intercept'), "
+        + ", ".join(f"('{c}')" for c in FEATURES[:10])
+        + ") AS v(term)"
+    ),
     "folds": with_profile(
         """SELECT CAST(fold AS INTEGER) AS fold, label, (n - fold + 4) // 5 AS n FROM (
              SELECT viable AS label, COUNT(*) AS n FROM perfil WHERE viable IS NOT NULL GROUP BY 1)
@@ -154,6 +162,9 @@ LEARN = {
         "SELECT COUNT(*) AS total, COUNT(true_label) AS labelled FROM vivas", SCORED, DECIDED, _LOG, _LABELS, _LIVE
     ),
     "labels_latest": f"WITH {_LABELS} SELECT id, true_label, strftime(updated_at, '%Y-%m-%d') AS updated_on FROM etiquetas",
+    "evaluations_compacted": with_profile(
+        "SELECT id_cliente AS id, true_label, final_decision FROM vivas", SCORED, DECIDED, _LOG, _LABELS, _LIVE
+    ),
     "evaluations_live": with_profile(
         "SELECT id_cliente AS id, true_label, final_decision FROM vivas", SCORED, DECIDED, _LOG, _LABELS, _LIVE
     ),

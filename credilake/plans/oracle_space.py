@@ -138,3 +138,5 @@ SPACE["lof_anomalies"] = (
     f"{_LOF} SELECT id, ROUND(lof, 6) AS lof FROM factor"
     " WHERE -lof < (SELECT quantile_cont(-lof, 0.1) FROM factor) ORDER BY id LIMIT 50"
 )
+SPACE["assign_cluster_stored"] = SPACE["assign_cluster"]
+SPACE["iforest_stored"] = with_profile("SELECT COUNT(*) AS n, 0 AS n_other FROM perfil WHERE viable = 0")
