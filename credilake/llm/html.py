@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from credilake.llm.base import sliced
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-HIDDEN = frozenset("head script style template noscript iframe object canvas audio video select datalist".split())
+HIDDEN = frozenset("head script style template noscript iframe object canvas audio video select datalist rp noframes".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "html body div section article aside header footer main nav address form li dt dd tr caption "
@@ -62,7 +64,11 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
+_NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
+#: The widest and tallest cell, and inputs that show their value as a label.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+LABELLED = frozenset("submit reset button".split())
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -70,7 +76,12 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 class Element:
     name: str
     hidden: bool = False
-    start: int = 1
+    start: int | None = None  # of an ordered list, or the number that a list item asks for
+    backwards: bool = False
+    silent: bool | None = None  # takes its place without its text; None: as what it stands in
+    columns: int = 1
+    rows: int = 1
+    label: str = ""
     apart: bool = False
     children: list[Element | str] = field(default_factory=list)
 
@@ -82,18 +93,32 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+def _number(value: str | None) -> int | None:
+    m = _NUMBER.match(value or "")
+    return int(m[1]) if m else None
+
+
 def _element(name: str, source: str) -> Element:
-    out = Element(name, name in HIDDEN)
+    out = Element(name, name in HIDDEN or name == "dialog")
     if source and not source.isspace():
         have = _attributes(source)
-        out.hidden = (
-            out.hidden
-            or "hidden" in have
-            or have.get("aria-hidden", "").lower() == "true"
-            or bool(_UNSEEN.search(have.get("style", "")))
-        )
-        if name == "ol" and have.get("start", "").lstrip("-").isdigit():
-            out.start = int(have["start"])
+        style = {k.lower(): v.lower() for k, v in _STYLE.findall(have.get("style", ""))}  # the last one holds
+        unseen = style.get("display") == "none" or (name == "tr" and style.get("visibility") == "collapse")
+        closed = name in HIDDEN or (name == "dialog" and "open" not in have)
+        out.hidden = closed or unseen or "hidden" in have or have.get("aria-hidden", "").lower() == "true"
+        if "visibility" in style and style["visibility"] != "inherit":
+            out.silent = style["visibility"] in ("hidden", "collapse")
+        if name == "ol":
+            out.start, out.backwards = _number(have.get("start")), "reversed" in have
+        elif name == "li":
+            out.start = _number(have.get("value"))
+        elif name in ("td", "th"):
+            columns, rows = _number(have.get("colspan")), _number(have.get("rowspan"))
+            out.columns = min(max(1 if columns is None else columns, 1), MOST_COLUMNS)
+            # nought rows: down to the end of the group
+            out.rows = MOST_ROWS if rows == 0 else min(max(1 if rows is None else rows, 1), MOST_ROWS)
+        elif name == "input" and have.get("type", "").lower() in LABELLED:
+            out.label = have.get("value", "")
     return out
 
 
@@ -126,7 +151,8 @@ def build(source: str) -> Element:
         if value:
             if stack[-1].name == "head" and value.strip(" \t\n\r\f"):
                 stack.pop()
-            stack[-1].children.append(html.unescape(value) if "&" in value else value)
+            if not stack[-1].silent:
+                stack[-1].children.append(html.unescape(value) if "&" in value else value)
 
     pos = 0
     while m := _TOKEN.search(source, pos):
@@ -162,10 +188,14 @@ def build(source: str) -> Element:
         if name in ("td", "th") and stack[-1].name == "colgroup":
             stack.pop()
         if name in ("td", "th") and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
-            row = Element("tr")
+            row = Element("tr", silent=stack[-1].silent)
             stack[-1].children.append(row)
             stack.append(row)
         made = _element(name, m[3])
+        if made.silent is None:
+            made.silent = stack[-1].silent
+        if made.label and not made.silent:
+            made.children.append(made.label)
         stack[-1].children.append(made)
         inside = foreign() > 0
         if inside:
@@ -175,7 +205,7 @@ def build(source: str) -> Element:
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, pos)
             stop = end.start() if end else len(source)
-            if name not in HIDDEN and name != "title":
+            if name not in HIDDEN and name != "title" and not made.silent:
                 made.children.append(html.unescape(source[pos:stop]))
             at = pos = end.end() if end else len(source)
         elif name not in VOID:
@@ -222,11 +252,12 @@ class _Lines:
         return self.lines
 
 
-def _rows(table: Element) -> Iterator[Element]:
-    for child in table.children:
+def _rows(group: Element) -> Iterator[tuple[Element, Element]]:
+    """(row, the group of rows it stands in)"""
+    for child in group.children:
         if isinstance(child, Element) and not child.hidden:
             if child.name == "tr":
-                yield child
+                yield child, group
             elif child.name in ROW_GROUPS:
                 yield from _rows(child)
 
@@ -243,37 +274,75 @@ def _outside_rows(group: Element, out: _Lines) -> None:
             out.end_line()
 
 
+def _placed(rows: list[tuple[Element, Element]]) -> list[list[tuple[int, int, str]]]:
+    """Per row its cells as (first column, column behind the last, text): a cell takes the next column that no cell
+    from above reaches into, and none reaches out of its group of rows."""
+    out = []
+    until: dict[int, int] = {}  # column -> first row that is free again
+    inside = None
+    for r, (row, group) in enumerate(rows):
+        if group is not inside:
+            until, inside = {}, group
+        column, cells = 0, []
+        for cell in row.children:
+            if isinstance(cell, Element) and not cell.hidden:
+                while until.get(column, 0) > r:
+                    column += 1
+                cells.append((column, column + cell.columns, " ".join(x for x in lines_of(cell) if x)))
+                if cell.rows > 1:
+                    until.update(dict.fromkeys(range(column, column + cell.columns), r + cell.rows))
+                column += cell.columns
+        out.append(cells)
+    return out
+
+
 def _table(table: Element, out: _Lines) -> None:
-    """Cells of a row in one line, the columns aligned; what stands outside of rows comes first."""
+    """Cells of a row in one line, the columns aligned; what stands outside of rows comes first. A cell over several
+    columns or rows has its text where it begins."""
     _outside_rows(table, out)
     out.end_line()
-    grid = [
-        [" ".join(x for x in lines_of(cell) if x) for cell in row.children if isinstance(cell, Element) and not cell.hidden]
-        for row in _rows(table)
-    ]
-    loose = [" ".join(x for x in lines_of(Element("tr", children=[c for c in row.children if isinstance(c, str)])) if x) for row in _rows(table)]
-    widths: list[int] = []
-    for row in grid:
-        for i, cell in enumerate(row):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], len(cell))
+    rows = list(_rows(table))
+    loose = [" ".join(x for x in lines_of(Element("tr", children=[c for c in row.children if isinstance(c, str)])) if x) for row, _ in rows]
+    placed = _placed(rows)
+    # columns in which no cell begins take no room
+    begun = sorted({first for cells in placed for first, _, _ in cells})
+    grid = [[(bisect_left(begun, a), bisect_left(begun, b), text) for a, b, text in cells] for cells in placed]
+    widths = [0] * len(begun)
+    wide = []
+    for cells in grid:
+        for a, b, text in cells:
+            if b - a == 1:
+                widths[a] = max(widths[a], len(text))
+            else:
+                wide.append((b - a, a, b, len(text)))
+    for n, a, b, length in sorted(wide):
+        widths[b - 1] += max(0, length - sum(widths[a:b]) - 2 * (n - 1))
+    begins = [0, *accumulate(w + 2 for w in widths)]
     lines = []
-    for row, extra in zip(grid, loose):
-        cells = [cell.ljust(widths[i]) if i + 1 < len(row) else cell for i, cell in enumerate(row)]
-        lines.append("  ".join([*cells, *([extra] if extra else [])]).rstrip())
+    for cells, extra in zip(grid, loose):
+        parts: list[str] = []
+        at = 0
+        for a, _, text in cells:
+            parts += [" " * (begins[a] - at), text]
+            at = begins[a] + len(text)
+        lines.append(("".join(parts) + ("  " * bool(cells) + extra if extra else "")).rstrip())
     out.put([x for x in lines if x])
 
 
 def _list(node: Element, out: _Lines) -> None:
+    step = -1 if node.backwards else 1
     number = node.start
+    if number is None:
+        number = sum(isinstance(c, Element) and c.name == "li" and not c.hidden for c in node.children) if node.backwards else 1
     for child in node.children:
         if isinstance(child, str):
             out.add(child)
         elif child.name == "li" and not child.hidden:
             out.end_line()
+            if child.start is not None:
+                number = child.start
             mark = f"{number}. " if node.name == "ol" else "- "
-            number += 1
+            number += step
             own = [x for x in lines_of(child) if x]
             out.put([(mark if i == 0 else " " * len(mark)) + x for i, x in enumerate(own)])
         else:

@@ -3,6 +3,8 @@
 import corpus_pipeline
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from text_cases import frame, pairs, words
 
 from credilake.llm import rules, simhash, weak
@@ -139,6 +141,55 @@ def test_visible_text_where_tags_are_implied(source, text):
     assert visible_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ('<div style="visibility:hidden">h<span style="visibility:visible">v</span>h</div>w', "v\nw"),
+        ('<p style="display:none;display:block">a<p style="display:block; display:none">b', "a"),
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+        ("<table><tr><td colspan=2>long title<td>x<tr><td>1<td>2<td>3</table>", "long title  x\n1  2        3"),
+        ("<table><tr><td colspan=999999999>a<td>b<tr><td>c</table>", "a  b\nc"),
+        ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>", "a  b\n   c\nd"),
+        ("<table><tr><td rowspan=x colspan=-1>a<td rowspan>b</table>", "a  b"),
+        ('<table><tr style="visibility:collapse"><td>a<tr><td style="visibility:hidden">b<td>c</table>', visible_text("<table><tr><td><td>c</table>")),
+        ("<table><tr><td rowspan=2>a<td>b<td rowspan=2>c<tr><td colspan=2>over</table>", "a  b  c\n   over"),
+        ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
+        ("<ol start=5><li>a<li value=9>b<li>c<li value=x>d</ol>", "5. a\n9. b\n10. c\n11. d"),
+        ("<ul><li value=9>a</ul>", "- a"),
+        ("<input type=submit value='Go &amp; run'><input type=text value=no><input type=submit hidden value=h>", "Go & run"),
+        ("a<dialog>b</dialog><dialog open>c</dialog><noframes>d</noframes><ruby>e<rp>(</rp></ruby>", "ace"),
+    ],
+)
+def test_spans_numbers_and_inherited_visibility(source, text):
+    assert visible_text(source) == text
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3)), min_size=1, max_size=4), min_size=1, max_size=4))
+def test_cells_lie_where_the_grid_puts_them(rows):
+    """Against a grid that is filled cell by cell: texts of one first column begin at one place, columns in order."""
+    taken, first, source, n = set(), {}, "<table>", 0
+    for r, cells in enumerate(rows):
+        source += "<tr>"
+        c = 0
+        for columns, height in cells:
+            while (r, c) in taken:
+                c += 1
+            first[f"c{n}."] = (r, c)
+            source += f"<td colspan={columns} rowspan={height}>c{n}."
+            taken |= {(y, x) for y in range(r, min(r + height, len(rows))) for x in range(c, c + columns)}
+            c += columns
+            n += 1
+    lines = visible_text(source + "</table>").split("\n")
+    at = {}
+    for name, (r, c) in first.items():
+        assert name in lines[r].split()
+        at.setdefault(c, set()).add(lines[r].index(name))
+    assert all(len(places) == 1 for places in at.values())
+    order = [min(at[c]) for c in sorted(at)]
+    assert order == sorted(set(order))
+
+
 def test_extraction_of_odd_rows(spark):
     pages = spark.createDataFrame(
         [(1, "u", None, "x"), (None, None, "<p>a</p>", "x"), (2, "u", "", "x"), (2, "u", "", "x"), (3, "u", "<p>" + words(1, 20000), "x")],
