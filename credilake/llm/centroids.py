@@ -208,4 +208,5 @@ def cluster_vectors(
     fits = lambda s: int(s) if s is not None and s < 1 << 63 else None
     told = [(k, fits(s), fits(whole_sum), centroids.v[k].tolist()) for k, s in inertia.items()]
     by_cluster = spark.createDataFrame(told, "cluster int, cluster_inertia long, inertia long, centroid array<long>")
+    # a row per centroid
     return labelled.join(F.broadcast(by_cluster), "cluster").select("vec_id", "cluster", "distance", *by_cluster.columns[1:])

@@ -143,6 +143,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
         .where(F.col("docs") >= min_docs)
     )
     # a few keys per partition, so they are sent to the lines: a line that a third of all documents hold stays spread
+    # at most two keys per partition and one per HELD_ROWS lines
     decided = still_open.join(F.broadcast(shared), ["k1", "k2"]).where(F.col("doc") != F.col("keeper"))
     return found.where("not open").select("doc", "row", "at").unionByName(decided.select("doc", "row", "at"))
 
