@@ -51,9 +51,10 @@ def sample(df: DataFrame, rows: int = FIT_ROWS, seed: int = SEED) -> Sample:
         F.xxhash64(KEY, F.lit(seed)).alias("by"), F.col("label").cast("double").alias("y"), weight.alias("w"),
         F.col("vec").cast("array<double>").alias("x"), fold.alias("fold"),
     )
-    found = narrow.orderBy("by", "y", "x").limit(rows).toPandas()
-    x = np.stack(found["x"].to_numpy()) if len(found) else np.empty((0, 1))
-    return Sample(x, *(found[n].to_numpy() for n in ("y", "w", "fold")))
+    found = narrow.orderBy("by", "y", "x").limit(rows).collect()
+    x = np.array([r["x"] for r in found], float) if found else np.empty((0, 1))
+    y, w = (np.array([r[n] for r in found], float) for n in ("y", "w"))
+    return Sample(x, y, w, np.array([r["fold"] for r in found], np.int32))
 
 
 def auc(y: np.ndarray, p: np.ndarray) -> float:
