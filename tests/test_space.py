@@ -388,3 +388,33 @@ def test_auto_select_k_hands_out_its_centres(spark):
     out = clustering.auto_select_k(df, range(2, 4), restarts=2, fitted=fitted)
     assert [r["k"] for r in out.where("optimal").collect()] == [3]
     assert {k: len(v) for k, v in fitted.items()} == {2: 2, 3: 3}
+
+
+def test_a_point_travels_once_to_a_group_of_cells(spark):
+    """In many dimensions nearly every cell is within reach: rows and their vectors must not travel once per cell."""
+    x = np.random.default_rng(3).normal(size=(600, 32))
+    index = neighbors.eps_index(_frame(spark, x), 6.0, pivots=40, chunk_rows=200)
+    assert 3 <= index.cells.groups <= 8 and (index.cells.parts == 1).all()
+    moved = neighbors._candidates(index.own.withColumn("bound", F.lit(6.0)), index.cells, "bound", True)
+    assert moved.count() <= 600 * index.cells.groups
+
+
+def test_matrix_products_decide_like_differences():
+    """Far from the origin, with pairs at the very edge and a row that is no number."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(70, 3)) * 4) + 1e6
+    y = np.vstack([np.round(rng.normal(size=(90, 3)) * 4) + 1e6, [[np.nan, 0, 0]]])
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    for eps in (0.0, 1.0, 5.0, math.sqrt(2)):
+        assert (neighbors._near(x, y, eps) == (d <= eps)).all()
+    ends, weight = np.array([20, 50, 90]), rng.integers(1, 5, 90).astype(float)
+    sums = neighbors.summed_distances(x, y[:90], weight, ends)
+    wanted = np.stack([d[:, a:b] @ weight[a:b] for a, b in ((0, 20), (20, 50), (50, 90))], 1)
+    assert np.allclose(sums, wanted, rtol=1e-9)
+
+
+def test_nearest_within_a_distance(spark, points):
+    df = _frame(spark, points)
+    rows = neighbors.knn_join(df, df, 3, exclude_self=True, pivots=8, chunk_rows=40, within=0.3).collect()
+    wanted = {(i, j) for i, js in _brute_knn(points, 3).items() for j in js if _distances(points[[i]], points[[j]])[0, 0] <= 0.3}
+    assert {(r.id, r.neighbor_id) for r in rows} == wanted
