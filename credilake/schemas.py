@@ -97,7 +97,7 @@ SOURCE_SCHEMAS = {
             T.StructField("total_activos", _WIDE_MONEY),
             T.StructField("total_deudas", _WIDE_MONEY),
             T.StructField("capital_trabajo", _WIDE_MONEY),
-            T.StructField("endeudamiento_patrimonial", T.DecimalType(5, 2)),
+            T.StructField("endeudamiento_patrimonial", T.DecimalType(18, 2)),  # debts over a cent of assets
             T.StructField("fecha_consulta", T.DateType()),
         ]
     ),

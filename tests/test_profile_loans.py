@@ -44,6 +44,15 @@ def test_source_tables_round_trip(spark, tables, tmp_path):
     assert build_profile(back, latest_snapshot=True).count() == build_profile(tables, latest_snapshot=True).count()
 
 
+def test_debts_over_a_cent_of_assets_are_stored(spark, tables, tmp_path):
+    """A client with next to no assets: the ratio has more than three digits before the point."""
+    row = tables["patrimonio"].limit(1).withColumn("total_activos", F.lit(0.2)).withColumn("total_deudas", F.lit(1e6))
+    row = row.withColumn("endeudamiento_patrimonial", F.col("total_deudas") / F.col("total_activos"))
+    relational.write_source_tables(tables | {"patrimonio": row}, str(tmp_path))
+    back = relational.read_source_tables(spark, str(tmp_path))["patrimonio"].first()
+    assert float(back["endeudamiento_patrimonial"]) == 5e6
+
+
 def test_form(spark):
     form = spark.createDataFrame(
         [(1, 5000.0, 2500.0, 120000.0, 30000.0, 2, 25000.0, 24)],
