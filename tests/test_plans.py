@@ -7,6 +7,7 @@ import pytest
 from conftest import DATA, ROOT
 
 from credilake.plans import catalog_core
+from credilake.sources import order_tables
 
 SOURCES = sorted((ROOT / "credilake").rglob("*.py"))
 
@@ -46,6 +47,17 @@ def test_lines_are_summed_before_they_travel(spark):
     assert "partial_sum" in plan and "CartesianProduct" not in plan
 
 
+def test_sums_travel_as_whole_numbers(spark):
+    plan = _plan(order_tables.monthly_totals(spark, DATA))
+    partial = [part for line in plan.split("\n") if "partial_sum" in line for part in line.split("partial_sum(")[1:]]
+    assert len(partial) == 5 and "isEmpty" not in plan  # what a sum of wide decimals adds to each of its values
+
+
+def test_months_and_assets_are_written_once(tables):
+    months = {f for name in ("ingresos", "gastos") for f in tables[name].inputFiles()}
+    assert months == set(tables["ingresos"].inputFiles())
+
+
 @pytest.mark.parametrize("path", SOURCES, ids=lambda p: str(Path(p).relative_to(ROOT)))
 def test_banned_calls(path):
     text = path.read_text(encoding="utf-8")

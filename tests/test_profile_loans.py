@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from conftest import DATA
 from fixtures import SAMPLE, applications
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from credilake.constants import FEATURES, KEY
 from credilake.operators import loans
 from credilake.operators.profile import DOCS, FORM, build_profile, derive_profile
-from credilake.sources import relational
+from credilake.sources import order_tables, relational
 
 
 def test_correlated_sql_gives_the_same_rows(spark, tables):
@@ -141,3 +143,21 @@ def test_entry_is_lazy_and_keyed(spark):
     assert df.columns == [KEY, "total_score", "classification", "risk_level", "final_decision"]
     assert df.count() == 150 and set(contract.oracle_sql()) <= set(contract.queries())
     assert DATA.endswith("sf0.001")
+
+
+def test_monthly_totals_are_exact(spark, tmp_path):
+    spark.createDataFrame(
+        [(1, 7, "2024-01-03", 0.1), (2, 7, "2024-01-20", 99999999999.99), (3, None, None, 5.0), (4, 8, "2024-02-01", None)],
+        "o_orderkey long, o_custkey long, day string, o_totalprice double",
+    ).withColumn("o_orderdate", F.to_timestamp("day")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(
+        [(1, 0.07, 0.01, 0.03), (1, 0.07, 0.01, 0.03), (2, 9999999999.99, 99.99, None), (4, None, 0.05, 0.01)],
+        "l_orderkey long, l_extendedprice double, l_discount double, l_tax double",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = {r[0]: tuple(r)[2:] for r in order_tables.monthly_totals(spark, str(tmp_path)).collect()}
+    expected = [
+        float(Decimal("99999999999.99") + Decimal("0.1")) / 20,
+        float(Decimal("9999999999.99") * Decimal("99.99") + Decimal("0.0014")) / 2,
+        float(Decimal("0.0042")) / 4,
+    ]
+    assert rows == {7: tuple(expected), None: (0.25, None, None), 8: (None, None, None)}
