@@ -1,5 +1,6 @@
 import math
 import random
+from dataclasses import dataclass
 
 import numpy as np
 import pytest
@@ -579,3 +580,25 @@ def test_queries_fit_models_at_the_full_settings(spark, monkeypatch, query):
     with pytest.raises(Called):
         catalog_learn.QUERIES[query](spark, "/root/testdata/sf0.001")
     assert prepared == [{}] and used[0] and used[0] == {n: full[n] for n in used[0]}
+
+
+def test_base_models_score_the_test_rows_once(spark, profile):
+    scored = []
+
+    @dataclass
+    class Counted:
+        inner: object
+
+        def fit(self, df):
+            return Counted(self.inner.fit(df))
+
+        def transform(self, df):
+            scored.append(1)
+            return self.inner.transform(df)
+
+    specs = {"Logistic Regression": Counted(supervised.logistic(0.5, 5))}
+    found = training.train_all(profile, specs=specs, tune=False, cv_folds=2, stack_folds=2, select_trees=5)
+    assert len(scored) == 3  # the test rows and each fold
+    ensemble = found.predictions[training.ENSEMBLE]
+    assert ensemble.columns == found.predictions["Logistic Regression"].columns
+    assert ensemble.count() == found.predictions["Logistic Regression"].count()
