@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -582,6 +583,17 @@ def test_queries_fit_models_at_the_full_settings(spark, monkeypatch, query):
     assert prepared == [{}] and used[0] and used[0] == {n: full[n] for n in used[0]}
 
 
+def test_shapley_rows_do_not_meet_their_neighbours(vectors):
+    class Linear:
+        def transform(self, df):
+            return df.withColumns({"p": F.col("vec")[0] * 0.5, "predicted": F.lit(0)})
+
+    values = explain.shapley_values(Linear(), vectors, ["a", "b", "c"], permutations=3)
+    plan = values._jdf.queryExecution().executedPlan().toString()
+    # one join, with the reference rows; a key of each path row as a join key would shuffle all of them
+    assert "lag(" not in plan and not re.search(r"Join \[id_cliente", plan) and "paths-" not in plan
+
+
 def test_base_models_score_the_test_rows_once(spark, profile):
     scored = []
 
@@ -602,3 +614,17 @@ def test_base_models_score_the_test_rows_once(spark, profile):
     ensemble = found.predictions[training.ENSEMBLE]
     assert ensemble.columns == found.predictions["Logistic Regression"].columns
     assert ensemble.count() == found.predictions["Logistic Regression"].count()
+
+
+def test_deep_trees_score_as_by_walking():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 4))
+    y = (x[:, 0] + rng.normal(size=900) > 0).astype(float)
+    edges = trees.bin_edges(x)
+    codes = trees.binned(x, edges)
+    grown = trees.forest(codes, y, np.ones(900), 7, 25, 1, 2, 3)
+    ensemble = trees.Ensemble.of(grown, edges, [1 / 7] * 7, False)
+    assert ensemble.depth > trees.BRANCHING
+    walked = np.stack([t.value[t.walk(codes)] for t in grown], 1) @ ensemble.scale
+    assert ensemble.score(x) == pytest.approx(walked)
+    assert len(ensemble.score(x[:0])) == 0
