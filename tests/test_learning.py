@@ -9,6 +9,8 @@ from conftest import DATA
 from fixtures import training_rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from credilake.constants import FEATURES, KEY, TARGET
@@ -86,6 +88,25 @@ def test_random_split_is_a_partition(labelled):
     assert train.count() + test.count() == labelled.count() and 30 < test.count() < 90
 
 
+def test_selection_keeps_the_nodes_of_its_rows(labelled, monkeypatch):
+    fitted = []
+
+    class Watched(RandomForestClassifier):
+        def fit(self, dataset, params=None):
+            fitted.append(self)
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(prep, "RandomForestClassifier", Watched)
+    df = labelled.withColumns({"d": F.col("a") * F.col("b"), "e": F.col("a") + F.col("c")})
+    names = ["a", "b", "c", "d", "e"]
+    chosen = prep.select_features(df, names, trees=20, depth=6)
+    # rows do not walk down from the root at each level, and the forest is the one that walks grow
+    assert fitted[0].getCacheNodeIds() and fitted[0].getNumTrees() == 20
+    walked = RandomForestClassifier(labelCol="label", numTrees=20, maxDepth=6, seed=42, cacheNodeIds=False)
+    importance = walked.fit(VectorAssembler(inputCols=names, outputCol="features").transform(df)).featureImportances
+    assert chosen == [n for n, v in zip(names, importance.toArray()) if v >= np.median(importance.toArray())]
+
+
 def test_weights(labelled):
     weighted = prep.balanced_weights(labelled)
     sums = {r.label: r.s for r in weighted.groupBy("label").agg(F.sum("weight").alias("s")).collect()}
