@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -206,6 +207,32 @@ def test_silhouettes_of_many_labellings(spark):
         assert found[name] == pytest.approx(one)
 
 
+def test_silhouettes_of_many_pairs_write_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 3))
+    x[0] = 1e7  # far from all others
+    labels = rng.integers(0, 3, (150, 2))
+    rows = [(i, v.tolist(), *map(int, row)) for i, (v, row) in enumerate(zip(x, labels))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, a int, b int")
+    one = {n: cluster_metrics.silhouette(df.select("id", "vec", df[n].alias("cluster"))).first()[0] for n in "ab"}
+    plans, summed = [], neighbors.summed_over_all
+
+    def watched(*args):
+        out = summed(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    def shuffled(*args):
+        raise AssertionError("blocks of all pairs are shuffled")
+
+    monkeypatch.setattr(cluster_metrics, "all_blocks", shuffled)
+    monkeypatch.setattr(cluster_metrics, "summed_over_all", watched, raising=False)
+    found = cluster_metrics.silhouettes(df, ["a", "b"], 16)
+    assert found == {n: pytest.approx(v) for n, v in one.items()}
+    # the stored blocks pass by; only the side that a task holds is dealt, once
+    assert len(plans) == 1 and "CartesianProduct" in plans[0] and len(re.findall(r"[+:]- Exchange", plans[0])) == 1
+
+
 def test_kmeans_of_few_or_equal_rows(spark):
     df = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(9)], "id long, vec array<double>")
     assert many_means.fit_many(df, [4], restarts=2)[4] == [[0.0, 1.0], [1.0, 1.0]]
