@@ -649,3 +649,88 @@ def test_deep_trees_score_as_by_walking():
     walked = np.stack([t.value[t.walk(codes)] for t in grown], 1) @ ensemble.scale
     assert ensemble.score(x) == pytest.approx(walked)
     assert len(ensemble.score(x[:0])) == 0
+
+
+@pytest.fixture
+def counted():
+    class Counted:
+        """A spec whose model, one stump, tells how many rows it was fitted on and what their first numbers add up to."""
+
+        def fit_rows(self, s):
+            return [(float(len(s.y)), 0, float(s.x[:, 0].sum()), 0, 1)]
+
+    return Counted()
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """More rows than the fits once took."""
+    n = F.col("id")
+    vec = F.array(n.cast("double"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double"), F.sin(n.cast("double")))
+    label = (F.pmod(F.xxhash64("id"), F.lit(1000)) + 300 * F.sin(n.cast("double")) > 500).cast("int")
+    return spark.range(0, 9500, 1, 5).select(n.alias(KEY), label.alias("label"), vec.alias("vec"), F.lit(1.0).alias("weight"))
+
+
+def test_fits_take_all_rows(many, counted):
+    folded = prep.stratified_folds(many, 3)
+    found = fits.fit_all(folded, {"a": counted}, 3)
+    assert found["a", None].stumps == [(9500, 0, 9500 * 9499 / 2, 0, 1)] == fits.fit_one(many, counted).stumps
+    assert sum(9500 - found["a", f].stumps[0][0] for f in range(3)) == 9500
+    model = fits.TreeSpec("tree", 1, 4, 2, impurity="entropy").fit(many).local
+    alone = fits.TreeSpec("tree", 1, 4, 2, impurity="entropy").fit_rows(fits.sample(many))
+    assert (model.value == alone.value).all() and (model.threshold == alone.threshold).all()
+
+
+def test_grid_scores_take_all_rows(many):
+    spec = fits.TreeSpec("boost", 2, 2, grid={"depth": [1, 2]})
+    scores = {p.depth: s for _, p, s in fits.grid_scores(many, {"x": spec}, 2)}
+    whole = fits.sample(prep.stratified_folds(many, 2))
+    assert len(whole.y) == 9500
+    for depth, score in scores.items():
+        point = fits.TreeSpec("boost", 2, depth)
+        held = [whole.rows(whole.fold == f) for f in range(2)]
+        assert score == pytest.approx(np.mean([fits.auc(h.y, point.fit_rows(whole.without(f)).score(h.x)) for f, h in enumerate(held)]))
+
+
+def test_training_uses_all_rows(many, counted):
+    columns = [F.col("vec")[i].alias(c) for i, c in enumerate(("ingreso_mensual", "total_gastos", "mora_diaria"))]
+    rest = [F.lit(0.0).alias(c) for c in FEATURES if c not in ("ingreso_mensual", "total_gastos", "mora_diaria")]
+    profiles = many.select(KEY, *columns, *rest, F.col("label").alias("viable")).where("id_cliente % 2 = 0 or viable = 1")
+    profiles = profiles.unionByName(profiles.withColumn(KEY, F.col(KEY) + 10000))
+    found = training.train_all(profiles, specs={"a": counted}, tune=False, cv_folds=2, stacking=False, select_trees=2)
+    assert found.models["a"].stumps[0][0] == found.train.count() > 8192
+
+
+@pytest.mark.parametrize("rows, cells", [(64, 256), (1 << 16, 1)])
+def test_growth_in_parts_is_the_same(monkeypatch, rows, cells):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 6)).round(1)
+    y, w = (x[:, 0] + rng.normal(size=700) > 0).astype(float), rng.integers(1, 4, 700).astype(float)
+    edges = trees.bin_edges(x)
+    codes = trees.binned(x, edges)
+
+    def grown():
+        # whole numbers add up to the same in any order
+        times = rng_times.copy()
+        some = trees.grow(codes, y, w * times, times, 12, 1, 3, rng=np.random.default_rng(1))
+        every = trees.grow(codes, y, w, np.ones(700), 12, 2, impurity="entropy")
+        return some, every, some.walk(codes)
+
+    rng_times = rng.poisson(1.0, 700).astype(float)
+    whole = grown()
+    monkeypatch.setattr(trees, "ROWS", rows)
+    monkeypatch.setattr(trees, "CELLS", cells)
+    parts = grown()
+    for a, b in zip(whole[:2], parts[:2]):
+        assert all((getattr(a, n) == getattr(b, n)).all() for n in ("feature", "cut", "left", "value", "gain"))
+    assert (whole[2] == parts[2]).all()
+
+
+def test_vectors_beyond_memory_are_a_scratch_file(monkeypatch):
+    s = _held(np.random.default_rng(9), 400)
+    specs = [fits.TreeSpec("boost", 4, 3, subsample=0.8), fits.NetworkSpec([4], 2)]
+    within = [spec.fit_rows(s.without(1)).score(s.x) for spec in specs]
+    monkeypatch.setattr(fits, "IN_MEMORY", 100)
+    assert isinstance(fits.table(50, 6).base, np.memmap)
+    for spec, p in zip(specs, within):
+        assert (spec.fit_rows(s.without(1)).score(s.x) == p).all()
