@@ -445,3 +445,33 @@ def test_nearest_within_a_distance(spark, points):
     rows = neighbors.knn_join(df, df, 3, exclude_self=True, pivots=8, chunk_rows=40, within=0.3).collect()
     wanted = {(i, j) for i, js in _brute_knn(points, 3).items() for j in js if _distances(points[[i]], points[[j]])[0, 0] <= 0.3}
     assert {(r.id, r.neighbor_id) for r in rows} == wanted
+
+
+def test_labels_of_every_k_are_written_once(spark, monkeypatch):
+    """Measures read stored labels: no plan of theirs holds the distances to the centres."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=3) + 6 * (i % 3)).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    seen, inner = [], clustering.quality
+    monkeypatch.setattr(clustering, "quality", lambda own, *a: seen.append(own) or inner(own, *a))
+    fitted = {}
+    found = {r.k: r for r in clustering.auto_select_k(df, range(2, 5), 2, fitted=fitted).collect()}
+    assert len(seen) == 3
+    for own in seen:
+        plan = own._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_min" not in plan and "k" in plan
+    for k, centres in fitted.items():
+        alone = inner(clustering.assign_cluster(df, centres)).first()
+        assert [alone[c] for c in alone.__fields__] == pytest.approx([found[k][c] for c in alone.__fields__])
+
+
+def test_distances_to_centres_are_compiled(spark):
+    rows = [(i, i % 2, [float(i), 2.0 * (i % 3), 1.0]) for i in range(8)]
+    df = spark.createDataFrame(rows, "id long, cluster int, vec array<double>")
+    stats = {r.cluster: r for r in cluster_metrics.cluster_stats(df).collect()}
+    for c, r in stats.items():
+        own = np.array([v for _, k, v in rows if k == c])
+        d2 = ((own - own.mean(0)) ** 2).sum(1)
+        assert (r.within, r.scatter) == (pytest.approx(d2.sum()), pytest.approx(np.sqrt(d2).mean()))
+    wide = spark.createDataFrame([(i, i % 2, [float(i % (j + 2)) for j in range(40)]) for i in range(8)], df.schema)
+    assert cluster_metrics.cluster_stats(wide).count() == 2
