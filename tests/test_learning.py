@@ -734,3 +734,20 @@ def test_vectors_beyond_memory_are_a_scratch_file(monkeypatch):
     assert isinstance(fits.table(50, 6).base, np.memmap)
     for spec, p in zip(specs, within):
         assert (spec.fit_rows(s.without(1)).score(s.x) == p).all()
+
+
+def test_targets_are_trained_beside_each_other(spark, monkeypatch):
+    import threading
+
+    together = threading.Barrier(3, timeout=60)
+
+    def train(df, target, **options):
+        together.wait()
+        return target, options
+
+    monkeypatch.setattr(training, "train_all", train)
+    df = spark.createDataFrame([(1, 0, 1, 0)], f"{KEY} long, " + ", ".join(f"{t} int" for t in training.MULTI_TARGETS))
+    found = training.train_targets(df, tune=False)
+    assert list(found) == list(training.MULTI_TARGETS)
+    assert all(v == (t, {"tune": False}) for t, v in found.items())
+    assert training.train_targets(df.select(KEY)) == {}
