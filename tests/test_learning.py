@@ -751,3 +751,24 @@ def test_targets_are_trained_beside_each_other(spark, monkeypatch):
     assert list(found) == list(training.MULTI_TARGETS)
     assert all(v == (t, {"tune": False}) for t, v in found.items())
     assert training.train_targets(df.select(KEY)) == {}
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 28])
+def test_large_models_are_held_packed(vectors, monkeypatch, bound):
+    monkeypatch.setattr(fits, "UNPACKED", bound)
+    folded = prep.stratified_folds(vectors, 2)
+    found = fits.fit_all(folded, {"a": fits.TreeSpec("forest", 9, 6, 1)}, 2)
+    model = found["a", None]
+    assert isinstance(model, fits.PackedModel)
+    size = int.from_bytes(model.packed()[:8], "big")
+    assert sum(v.nbytes for v in vars(model.local).values() if isinstance(v, np.ndarray)) <= size > 2 * len(model.packed())
+    votes = {r[KEY]: r.p for r in supervised.out_of_fold(folded, "a", found, 2).collect()}
+    rows = folded.collect()
+    for f in range(2):
+        own = [r for r in rows if r.fold == f]
+        assert [votes[r[KEY]] for r in own] == pytest.approx(found["a", f].local.score(np.asarray([r.vec for r in own])).tolist())
+
+
+def test_fits_without_rows_end(vectors):
+    found = fits.fit_all(vectors.where("false"), {"a": fits.NetworkSpec([2], 1), "b": fits.TreeSpec("forest", 2, 2)})
+    assert set(found) == {("a", None), ("b", None)}
